@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import bpe, decontaminate
+from corpusmill.llm import bpe, decontaminate, language, quality, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.query,
     "op4_bpe": bpe.query,
+    "op6_quality": quality.query,
+    "op9_language": language.query,
     "op10_decontaminate": decontaminate.query,
 }
 
