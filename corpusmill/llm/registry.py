@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import bpe, decontaminate, language, quality, toxicity
+from corpusmill.llm import bpe, decontaminate, language, linededup, quality, tokencount, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
     "op4_bpe": bpe.query,
+    "op5_token_counts": tokencount.query,
     "op6_quality": quality.query,
+    "op8_line_dedup": linededup.query,
     "op9_language": language.query,
     "op10_decontaminate": decontaminate.query,
 }
 
 ORACLES = {
+    "op8_line_dedup": linededup.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
