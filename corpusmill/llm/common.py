@@ -76,15 +76,15 @@ def append_columns(
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; where none is named (tests on one machine), one in the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
 
-    Where that setting is absent and no folder is set (tests on one machine), one under the warehouse is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder, so that results survive lost executors."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        )
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -18,6 +18,7 @@ is named like a result gives way to it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import append_columns, as_bytes, table, words
+from corpusmill.llm.common import WORD_TABLE, append_columns, as_bytes, table, words
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
 SAMPLE = 8
+WORD = re.compile(rb"[^ ]+")
 
 
 class WaveletTree:
@@ -256,6 +258,33 @@ def decontaminate(
     return out.select(*keep, "n_words", *carried)
 
 
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """A text without the words of the spans and what stands between them."""
+    at = [m.span() for m in WORD.finditer(text.translate(WORD_TABLE))]
+    out, last = [], 0
+    for a, b in spans:
+        out.append(text[last : at[a][0]])
+        last = at[b - 1][1]
+    return b"".join([*out, text[last:]])
+
+
+def remove_hits(found: DataFrame, text: str = "text", spans: str = "hit_spans") -> DataFrame:
+    """Columns of ``found``, hit words cut out of the text; texts without hits stay as they are, rows all stay."""
+    kind = found.schema[text]
+
+    def rows():
+        def each(batch: pa.RecordBatch):
+            texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
+            cuts = batch.column(batch.schema.get_field_index(spans)).to_pylist()
+            out = [without(t, [(s["start"], s["end"]) for s in c]) if t and c else t for t, c in zip(texts, cuts, strict=True)]
+            return [pa.array(out, pa.binary()).cast(pa.string())]
+
+        return each
+
+    made = append_columns(found, [kind], rows, inputs=[text, spans])
+    return made.select(*found.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])

@@ -298,8 +298,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges = checkpoint(small.filter("u != v").distinct())
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: its id, class_id, n_links, n_linked_texts and n_copies."""
+def known_classes(docs: DataFrame, text: str, row_id: str, threshold: float) -> DataFrame:
+    """For each distinct text (digest __k): class_id and the counts of its documents' rows."""
     classes = checkpoint(classes_of(docs, text, row_id))
     left = checkpoint(possible(candidates(classes), threshold))
     sets = shingle_sets(docs, left.select("k").distinct(), text)
@@ -310,19 +310,36 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     grouped = member.join(classes.select(F.col("k").alias("v"), "least"), "v")
     smallest = grouped.groupBy("m").agg(F.min("least").alias("group_least"))
     named = grouped.join(smallest, "m").select(F.col("v").alias("k"), "group_least")
-    known = classes.select("k", "n", "least", "size").join(counts, "k", "left").join(named, "k", "left").select(
+    return classes.select("k", "n", "least", "size").join(counts, "k", "left").join(named, "k", "left").select(
         F.col("k").alias("__k"),
         F.coalesce("group_least", "least").alias("class_id"),
         (F.when(F.col("size") > 0, F.col("n") - 1).otherwise(0) + F.coalesce("documents", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"),
         F.col("n").alias("n_copies"),
     )
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: its id, class_id, n_links, n_linked_texts and n_copies."""
+    known = known_classes(docs, text, row_id, threshold)
     each = docs.select(row_id, F.unhex(F.md5(text)).alias("__k"))
     zero = lambda c, v: F.coalesce(F.col(c), F.lit(v)).cast("long").alias(c)
     out = each.join(known, "__k", "left")
     return out.select(row_id, F.coalesce("class_id", F.when(F.col("__k").isNull(), F.col(row_id))).alias("class_id"), zero("n_links", 0), zero("n_linked_texts", 0), zero("n_copies", 1))
 
 
+def drop_near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with all columns, of each class only the document with the least id; null texts all stay."""
+    known = known_classes(docs, text, row_id, threshold)
+    shared = checkpoint(known.filter("class_id IS NOT NULL AND (n_copies > 1 OR n_linked_texts > 0)").select("__k", F.col("class_id").alias("__class")))
+    side = F.broadcast(shared) if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else shared.hint("shuffle_hash")
+    keyed = docs.withColumn("__k", F.unhex(F.md5(text))).join(side, "__k", "left")
+    kept = keyed.filter(F.col("__class").isNull() | (F.col(row_id) == F.col("__class")))
+    if docs.groupBy(row_id).count().filter("count > 1").limit(1).count():  # rows that share an id: one of them stays too
+        kept = kept.filter("__class IS NULL").unionByName(kept.filter("__class IS NOT NULL").dropDuplicates(["__class"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import bpe, decontaminate, language, linededup, ngramjoin, quality, spandedup, tokencount, toxicity
+from corpusmill.llm import bpe, decontaminate, language, linededup, ngramjoin, quality, secrets, spandedup, tokencount, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngramjoin.query,
     "op2_toxicity": toxicity.query,
+    "op3_secrets": secrets.query,
     "op4_bpe": bpe.query,
     "op5_token_counts": tokencount.query,
     "op6_quality": quality.query,

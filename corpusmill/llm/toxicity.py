@@ -253,6 +253,20 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[s
 THRESHOLD = 0.3
 
 
+def reject(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows():
+        def each(batch: pa.RecordBatch):
+            own, texts = shared.value, as_bytes(batch.column(batch.schema.get_field_index(text)))
+            return [], pa.array([own is None or own.score(*own.passages(t))[0] < threshold for t in texts], pa.bool_())
+
+        return each
+
+    return append_columns(docs, [], rows)
+
+
 def learnable() -> Column:
     return crc_bucket("doc_id", 4) != 2
 
