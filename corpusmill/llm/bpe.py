@@ -30,7 +30,7 @@ from tokenizers.models import BPE
 from corpusmill.llm.common import append_columns, table
 
 #: Entries kept by a worker for chunks, pre-tokens and fragments; each is emptied when full.
-CACHE = 300_000
+CACHE = 100_000
 
 
 def byte_symbols() -> list[str]:

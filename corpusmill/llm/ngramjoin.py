@@ -107,7 +107,7 @@ def survivors(sig: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, b
 def pairs_of(block: np.ndarray, lo: int, hi: int):
     """Index pairs between the two blocks, or within one, some at a time."""
     left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    step = max(1, 40_000 // max(1, len(right)))
+    step = max(1, 10_000 // max(1, len(right)))
     for k in range(0, len(left), step):
         rows = left[k : k + step]
         i, j = np.repeat(rows, len(right)), np.tile(right, len(rows))

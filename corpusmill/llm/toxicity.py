@@ -36,7 +36,7 @@ MOST_SCORE = 8.0
 BEGINNINGS = (6, 5, 4)
 MARK = b"\x00"
 #: Words whose score a worker keeps.
-CACHE = 500_000
+CACHE = 150_000
 #: Passages whose chance of arising in a clean text of that length is below this are significant.
 SIGNIFICANT = 0.05
 
