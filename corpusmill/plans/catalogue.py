@@ -300,7 +300,6 @@ def clean_query(**options):
 
 for _mode in C.MODES:
     entry(f"clean_pages_{_mode}")(clean_query(mode=_mode))
-entry("clean_pages_budget")(clean_query(mode="aggressive", max_tokens=120))
 
 
 def render_query(fmt: str):
