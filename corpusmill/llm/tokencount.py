@@ -28,8 +28,8 @@ from corpusmill.llm.common import append_columns, table
 
 MARK = "▁"
 #: Nodes of a worker's trie, and pre-tokens whose count it keeps; beyond them it starts anew.
-NODES = 300_000
-KNOWN = 150_000
+NODES = 700_000
+KNOWN = 500_000
 #: Longest pre-token whose nodes are kept in the trie.
 LONGEST = 128
 
