@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +39,29 @@ def crc_bucket(doc_id: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    """glibc's call that hands free pages back to the system; None with another C library."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+def settled(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; at a task's end its worker, which Spark uses again, gives free memory back."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := _trim():
+                trim(0)
+
+    return each
+
+
 def append_columns(
     df: DataFrame,
     fields: list[T.StructField],
@@ -71,7 +96,7 @@ def append_columns(
             )
             yield out.filter(mask) if mask is not None else out
 
-    return source.mapInArrow(run, schema).select(
+    return source.mapInArrow(settled(run), schema).select(
         *[F.col(inner[c]).alias(c) for c in keep], *[F.col(f.name) for f in fields]
     )
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import checkpoint, table, words
+from corpusmill.llm.common import checkpoint, settled, table, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -164,7 +164,7 @@ def classes_of(docs: DataFrame, text: str, row_id: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(count, pa.int64()), pa.array(least, pa.int64()), pa.array(size, pa.int32()), pa.array(sig, pa.binary())], names=["k", "n", "least", "size", "sig"])
 
     source = docs.select(F.col(row_id).cast("long"), F.unhex(F.md5(text)), text).filter(F.col(text).isNotNull())
-    each = source.mapInArrow(run, "k binary, n long, least long, size int, sig binary")
+    each = source.mapInArrow(settled(run), "k binary, n long, least long, size int, sig binary")
     return each.groupBy("k").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.first("size").alias("size"), F.first("sig").alias("sig"))
 
 
@@ -201,7 +201,7 @@ def possible(dealt: DataFrame, threshold: float) -> DataFrame:
             if live.any():
                 yield from part.filter(pa.array(live)).combine_chunks().to_batches()
 
-    return dealt.select(*GROUP, "block", "k", "n", "size", "sig").repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, dealt.select(*GROUP, "block", "k", "n", "size", "sig").schema)
+    return dealt.select(*GROUP, "block", "k", "n", "size", "sig").repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(settled(run), dealt.select(*GROUP, "block", "k", "n", "size", "sig").schema)
 
 
 def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -263,7 +263,7 @@ def verified(left: DataFrame, threshold: float) -> DataFrame:
             if hit:
                 yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in hit], pa.binary()), pa.array(texts[hit]), pa.array(documents[hit]), pa.array([keys[root(x)] for x in hit], pa.binary())], names=["k", "texts", "documents", "root"])
 
-    return left.select(*GROUP, "block", "k", "n", "size", "sig", "shingles").repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "k binary, texts long, documents long, root binary")
+    return left.select(*GROUP, "block", "k", "n", "size", "sig", "shingles").repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(settled(run), "k binary, texts long, documents long, root binary")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -278,7 +278,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
             sets = [shingles(batch.column(1)[at].as_py().encode("utf-8", "replace")).astype("<u8").tobytes() for at in first.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.binary()), pa.array(sets, pa.binary())], names=["k", "shingles"])
 
-    return source.mapInArrow(run, "k binary, shingles binary").groupBy("k").agg(F.first("shingles").alias("shingles"))
+    return source.mapInArrow(settled(run), "k binary, shingles binary").groupBy("k").agg(F.first("shingles").alias("shingles"))
 
 
 def components(edges: DataFrame) -> DataFrame:

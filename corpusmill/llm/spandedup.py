@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import append_columns, table
+from corpusmill.llm.common import append_columns, settled, table
 
 SENTENCES = 3
 SPAN_WORDS = 24
@@ -98,7 +98,7 @@ def task_spans(batches):
 def marked(docs: DataFrame, text: str, row_id: str) -> DataFrame:
     """Document (__id, __key) and the places (first sentence, end) of its later spans."""
     source = docs.select(F.col(row_id).cast("long"), F.xxhash64(text), F.col(text)).filter(F.length(text) > 0)
-    found = source.mapInArrow(task_spans, "h0 long, h1 long, id long, key long, place long, late boolean")
+    found = source.mapInArrow(settled(task_spans), "h0 long, h1 long, id long, key long, place long, late boolean")
     here = F.struct("id", "key", "place")
     first = F.min(here).over(Window.partitionBy("h0", "h1"))
     later = found.withColumn("first", first).filter(F.col("late") | (here != F.col("first")))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import append_columns, as_bytes, checkpoint, crc_bucket, table, words
+from corpusmill.llm.common import append_columns, as_bytes, checkpoint, crc_bucket, settled, table, words
 
 #: The model is fitted on about so many labelled rows at most; its lexicon is bounded by the words of so many texts.
 SAMPLE = 20_000
@@ -170,7 +170,7 @@ def word_counts(rows: DataFrame, text: str) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    counted = rows.select(F.col(text), F.col("__label")).mapInArrow(run, schema)
+    counted = rows.select(F.col(text), F.col("__label")).mapInArrow(settled(run), schema)
     return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "toxic_docs")])
 
 
@@ -185,7 +185,7 @@ def drift_for(counts: DataFrame, lexicon: dict[bytes, float], n0: int) -> float:
             c = np.array(batch.column(1), dtype=float)
             yield pa.RecordBatch.from_arrays([pa.array([float(c[s != 0].sum())]), pa.array([float((c * np.exp(s))[s != 0].sum())])], names=["mass", "lifted"])
 
-    mass, lifted = counts.select("word", "clean").mapInArrow(run, "mass double, lifted double").agg(F.sum("mass"), F.sum("lifted")).first()
+    mass, lifted = counts.select("word", "clean").mapInArrow(settled(run), "mass double, lifted double").agg(F.sum("mass"), F.sum("lifted")).first()
     mass, lifted = (mass or 0) / n0, (lifted or 0) / n0
     return float(min(np.log(max(1 - lifted, 0.5) / max(1 - mass, 0.5)), -0.02))
 
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", r
             out = [shared.value.passages(t) for t in as_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([[s for _, _, s in o[1]] for o in out], pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["n", "found", "label"])
 
-    got = rows.mapInArrow(run, "n long, found array<double>, label int").collect()  # bounded by the sample
+    got = rows.mapInArrow(settled(run), "n long, found array<double>, label int").collect()  # bounded by the sample
     got.sort(key=lambda r: (r["n"], r["label"], r["found"]))
     clean = [(r["n"], max(r["found"])) for r in got if not r["label"] and r["found"]]
     clear = sum(r["n"] for r in got if not r["label"] and not r["found"])

@@ -118,3 +118,18 @@ def test_language_model_separates():
     top, score, _ = model.predict(np.array([language.counts("the dog in the house"), language.counts("der hund im haus")]))
     assert [model.langs[k] for k in top] == ["en", "de"] and (score > 0).all()
     assert not language.has_letter(None) and not language.has_letter("123 !") and language.has_letter("1é")
+
+
+def test_settled_passes_all_batches_and_failures_on():
+    import pytest
+
+    from corpusmill.llm.common import settled
+
+    assert list(settled(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3]
+
+    def broken(batches):
+        yield next(batches)
+        raise ValueError("broken")
+
+    with pytest.raises(ValueError, match="broken"):
+        list(settled(broken)(iter([1, 2])))
