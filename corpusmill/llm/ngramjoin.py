@@ -23,6 +23,8 @@ over for class_id, which is null if all are. Repeated rows count as copies. All
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,6 +41,8 @@ STEP = 40
 TOLERANCE = 1e-6
 #: Members of a block; a task holds two blocks.
 BLOCK = 512
+#: Shingles of a pair of blocks that are counted at a time.
+TOGETHER = 500_000
 #: Up to so many digests (16 bytes each) are broadcast to pick the texts to verify; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 _RNG = np.random.default_rng(20240229)
@@ -77,6 +81,7 @@ def signature(found: np.ndarray) -> np.ndarray:
     return best
 
 
+@lru_cache
 def fewest_matches(threshold: float, tolerance: float) -> dict[int, int]:
     """For each number of compared values, how many must be equal for the pair to stay."""
     x = (np.arange(20_000) + 0.5) / 20_000
@@ -90,32 +95,52 @@ def fewest_matches(threshold: float, tolerance: float) -> dict[int, int]:
     return out
 
 
-def survivors(sig: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, band: int, fewest: dict[int, int], threshold: float) -> np.ndarray:
-    """Which pairs (i, j) stay possible and belong to this band, the first that they share."""
-    stay = np.flatnonzero(np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9)
-    same = np.zeros(len(stay), dtype=np.int64)
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each band of each row, a row for each band."""
+    part = sig.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    out = np.zeros(part.shape[:2], dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(ROWS):
+            out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + part[:, :, k]
+    return np.ascontiguousarray(out.T)
+
+
+def survivors(sig: np.ndarray, i: np.ndarray, j: np.ndarray, fewest: dict[int, int]) -> np.ndarray:
+    """Which pairs (i, j) stay possible as their MinHash values are compared, some more at each step."""
+    stay, same = np.arange(len(i)), np.zeros(len(i), dtype=np.int64)
     for n in range(STEP, HASHES + 1, STEP):
         same = same + (sig[i[stay], n - STEP : n] == sig[j[stay], n - STEP : n]).sum(axis=1)
         ok = same >= fewest[n]
         stay, same = stay[ok], same[ok]
         if not len(stay):
-            return stay
-    shared = (sig[i[stay]] == sig[j[stay]]).reshape(-1, BANDS, ROWS).all(axis=2)
-    return stay[np.argmax(shared, axis=1) == band]
+            break
+    return stay
+
 
+def pairs_left(sig: np.ndarray, size: np.ndarray, block: np.ndarray, bucket: int, lo: int, hi: int, fewest: dict[int, int], threshold: float):
+    """Pairs (i, j) between the two blocks, or within one, that pruning leaves and whose first shared band is this one.
 
-def pairs_of(block: np.ndarray, lo: int, hi: int):
-    """Index pairs between the two blocks, or within one, some at a time."""
+    Pairs of an earlier band and of too different sizes go first, for some rows of one block against the whole other.
+    """
+    band, keys = bucket & 63, band_keys(sig)
     left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    step = max(1, 10_000 // max(1, len(right)))
+    step = max(1, 20_000 // max(1, len(right)))
     for k in range(0, len(left), step):
         rows = left[k : k + step]
-        i, j = np.repeat(rows, len(right)), np.tile(right, len(rows))
+        a, b = size[rows][:, None], size[right][None, :]
+        open_ = np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
         if lo == hi:
-            keep = i < j
-            i, j = i[keep], j[keep]
+            open_ &= rows[:, None] < right[None, :]
+        for earlier in range(band):
+            open_ &= keys[earlier, rows][:, None] != keys[earlier, right][None, :]
+            if earlier % 8 == 7 and not open_.any():
+                break
+        i, j = np.nonzero(open_)
         if len(i):
-            yield i, j
+            i, j = rows[i], right[j]
+            ok = survivors(sig, i, j, fewest)
+            if len(ok):
+                yield i[ok], j[ok]
 
 
 def runs(batches, columns: list[str]):
@@ -188,16 +213,16 @@ GROUP = ["bucket", "lo", "hi"]
 def possible(dealt: DataFrame, threshold: float) -> DataFrame:
     """Rows of ``dealt`` that are in some pair which Bayesian pruning leaves."""
 
+    fewest = fewest_matches(threshold, TOLERANCE)
+
     def run(batches):
-        fewest = fewest_matches(threshold, TOLERANCE)
         for bucket, lo, hi, part in runs(batches, GROUP):
             if part.num_rows < 2:
                 continue
             sig, size, block = fixed(part.column("sig"), HASHES), part.column("size").to_numpy(), part.column("block").to_numpy()
             live = np.zeros(part.num_rows, dtype=bool)
-            for i, j in pairs_of(block, lo, hi):
-                ok = survivors(sig, size, i, j, bucket & 63, fewest, threshold)
-                live[i[ok]] = live[j[ok]] = True
+            for i, j in pairs_left(sig, size, block, bucket, lo, hi, fewest, threshold):
+                live[i] = live[j] = True
             if live.any():
                 yield from part.filter(pa.array(live)).combine_chunks().to_batches()
 
@@ -205,30 +230,58 @@ def possible(dealt: DataFrame, threshold: float) -> DataFrame:
 
 
 def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the pairs' sets."""
-    if len(i) < 32:
+    """Sizes of the intersections of the pairs' sets.
+
+    Few pairs are intersected one by one. Many are counted together, for one range of hashes after the other: a product
+    of 0/1 matrices over the shingles that two sets or more have.
+    """
+    rows, columns = np.unique(i), np.unique(j)
+    used = np.union1d(rows, columns)
+    if len(i) < 2 * len(used):
         return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], dtype=np.int64)
-    used = np.unique(np.concatenate([i, j]))
-    place = np.full(len(sets), -1)
-    place[used] = np.arange(len(used))
-    every, column = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True)
-    row = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used])
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    total = np.zeros((len(used), len(used)), dtype=np.float32)
-    edges = np.searchsorted(column, np.arange(0, len(every) + 2048, 2048))
-    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        part = np.zeros((len(used), 2048), dtype=np.float32)
-        part[row[a:b], column[a:b] - 2048 * k] = 1
-        total += part @ part.T
-    return np.rint(total[place[i], place[j]]).astype(np.int64)
+    ranges = 1 + sum(len(sets[k]) for k in used) // TOGETHER
+    cuts = np.array([(k << 64) // ranges for k in range(1, ranges)], dtype=np.uint64)
+    edge = {k: [0, *np.searchsorted(sets[k], cuts).tolist(), len(sets[k])] for k in used.tolist()}
+    total = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    for r in range(ranges):
+        parts = [sets[k][edge[k][r] : edge[k][r + 1]] for k in used.tolist()]
+        owner = np.repeat(np.arange(len(used)), [len(x) for x in parts])
+        value = np.concatenate(parts)
+        order = np.argsort(value, kind="stable")
+        value, owner = value[order], owner[order]
+        fresh = np.ones(len(value), dtype=bool)
+        fresh[1:] = value[1:] != value[:-1]
+        number = np.cumsum(fresh) - 1
+        often = np.bincount(number)[number] > 1 if len(number) else fresh
+        owner, number = owner[often], np.cumsum(fresh[often]) - 1
+        for a in range(0, int(number[-1]) + 1 if len(number) else 0, 2048):
+            lo, hi = np.searchsorted(number, (a, a + 2048))
+            part = np.zeros((len(used), min(2048, int(number[-1]) + 1 - a)), dtype=np.float32)
+            part[owner[lo:hi], number[lo:hi] - a] = 1
+            total += part[np.searchsorted(used, rows)] @ part[np.searchsorted(used, columns)].T
+    return np.rint(total[np.searchsorted(rows, i), np.searchsorted(columns, j)]).astype(np.int64)
+
+
+def forest(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of m nodes the least node of its component under the links (i, j)."""
+    label = np.arange(m)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        for x in (i, j, label[i], label[j]):
+            np.minimum.at(new, x, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
 
 
 def verified(left: DataFrame, threshold: float) -> DataFrame:
     """For each class of each pair of blocks: links there (texts, documents), and the root of its links' forest."""
 
+    fewest = fewest_matches(threshold, TOLERANCE)
+
     def run(batches):
-        fewest = fewest_matches(threshold, TOLERANCE)
         for bucket, lo, hi, part in runs(batches, GROUP):
             m = part.num_rows
             if m < 2:
@@ -236,32 +289,21 @@ def verified(left: DataFrame, threshold: float) -> DataFrame:
             sig, size, block = fixed(part.column("sig"), HASHES), part.column("size").to_numpy(), part.column("block").to_numpy()
             n, keys = part.column("n").to_numpy(), part.column("k").to_pylist()
             sets = [np.frombuffer(s, dtype="<u8") for s in part.column("shingles").to_pylist()]
-            texts, documents, parent = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64), list(range(m))
-
-            def root(x, parent=parent):
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            for i, j in pairs_of(block, lo, hi):
-                ok = survivors(sig, size, i, j, bucket & 63, fewest, threshold)
-                i, j = i[ok], j[ok]
-                if not len(i):
-                    continue
-                both = shared_counts(sets, i, j)
-                real = both >= threshold * (size[i].astype(np.int64) + size[j] - both) - 1e-9
-                i, j = i[real], j[real]
-                for a, b in ((i, j), (j, i)):
-                    np.add.at(texts, a, 1)
-                    np.add.at(documents, a, n[b])
-                for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                    a, b = root(a), root(b)
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
+            found = list(pairs_left(sig, size, block, bucket, lo, hi, fewest, threshold))
+            if not found:
+                continue
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            both = shared_counts(sets, i, j)
+            real = both >= threshold * (size[i].astype(np.int64) + size[j] - both) - 1e-9
+            i, j = i[real], j[real]
+            texts = np.bincount(i, minlength=m) + np.bincount(j, minlength=m)
+            documents = np.zeros(m, dtype=np.int64)
+            np.add.at(documents, i, n[j])
+            np.add.at(documents, j, n[i])
+            root = forest(m, i, j)
             hit = np.flatnonzero(texts).tolist()
             if hit:
-                yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in hit], pa.binary()), pa.array(texts[hit]), pa.array(documents[hit]), pa.array([keys[root(x)] for x in hit], pa.binary())], names=["k", "texts", "documents", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in hit], pa.binary()), pa.array(texts[hit]), pa.array(documents[hit]), pa.array([keys[root[x]] for x in hit], pa.binary())], names=["k", "texts", "documents", "root"])
 
     return left.select(*GROUP, "block", "k", "n", "size", "sig", "shingles").repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(settled(run), "k binary, texts long, documents long, root binary")
 
@@ -284,12 +326,10 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Node v and the least node m of its component, by alternating large and small stars; nodes without edges are absent."""
     edges = checkpoint(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
     while True:
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
-            return edges.select(F.col("u").alias("v"), F.col("v").alias("m"))
-        mark = tuple(seen)
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("top")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if not ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("top").alias("top")).filter("up > 1 OR up = 1 AND top = 1").limit(1).count():
+            return edges.select(F.col("u").alias("v"), F.col("v").alias("m"))  # each node hangs on one that hangs on none
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
