@@ -1,7 +1,7 @@
 """Secret scans with a random forest that removes false positives, in DataFrame operations only.
 
-A candidate is a word of 12 characters or more with a digit, freed of quotes and of a ``name=`` in front. A forest over
-its length, character transitions, dictionary coverage, the document's path and the neighbouring words decides whether
+A word (between white space) is cut into values at all characters that values don't have; each value of 12 characters or
+more with a digit is a candidate, and a value that = or : joins to it in front is its name. A forest over its length, character transitions, dictionary coverage, the document's path and the neighbouring words decides whether
 it is a secret. The forest is trained on labelled findings (a bounded table, the parameter ``findings``; by default
 generated by rule with a fixed seed) and written out as SQL conditions, so scoring stays within Spark's expressions.
 
@@ -31,13 +31,28 @@ WORDS = """able access account action address admin after again agent alpha app
 COVER = "(" + "|".join(sorted({w for w in WORDS if len(w) >= 3}, key=lambda w: (-len(w), w))) + ")"
 NAMES = r"(?i)(passw|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private)"
 HARMLESS = r"(?i)(commit|sha|md5|uuid|guid|hash|checksum|digest|isbn|card|visa|phone|tel|mail|version|example|sample|build|order|invoice|ref)"
+#: A quote, escaped or as an entity; what stands between a name and its value; a value, with the padding of base64 code.
+QUOTE = r"""(?:\\*["'`]|&quot;|&#3[49];)?"""
+CHARS = "A-Za-z0-9+/_@~-"
+JOIN = rf"(?<=[={CHARS}]){QUOTE}\]?[=:]+>?{QUOTE}"
+PIECE = rf"({JOIN})?([{CHARS}](?:[.{CHARS}]*[{CHARS}])?(?:={{1,2}}+(?![=>]|{QUOTE}[{CHARS}]))?)"
 FEATURES = ("length", "changes", "digits", "uppers", "hexlike", "coverage", "slashes", "dots", "ats", "dashes", "known", "named", "near_name", "near_harmless", "test_path", "distinct")
 
 
-def split_word(word: Column) -> Column:
-    """Name in front and value of a word."""
-    pattern = r"""^[^A-Za-z0-9+/_-]*(?:([A-Za-z][A-Za-z0-9_.-]*)["']?[=:]+["']?)?([A-Za-z0-9+/_@:=~-]+(?:\.[A-Za-z0-9+/_@:=~-]+)*)?"""
-    return F.struct(F.regexp_extract(word, pattern, 1).alias("name"), F.regexp_extract(word, pattern, 2).alias("value"))
+def pieces(word: Column) -> Column:
+    """All values of a word in their order, as an array of (name, value); the name is the value before that = or : joins."""
+    part = lambda k: F.regexp_extract_all(word, F.lit(PIECE), F.lit(k))
+    joined = F.zip_with(part(1), part(2), lambda j, v: F.struct(j.alias("join"), v.alias("value")))
+    named = F.zip_with(
+        joined,
+        F.concat(F.array(F.lit("")), part(2)),
+        lambda p, last: F.struct(F.when(F.length(p["join"]) > 0, last).otherwise("").alias("name"), p["value"].alias("value")),
+    )
+    return F.filter(named, lambda p: p["value"].isNotNull())  # the value moved on from the last place has no partner
+
+
+def is_candidate(value: Column) -> Column:
+    return (F.length(value) >= LEAST) & value.rlike("[0-9]")
 
 
 def features(value: Column, name: Column, before: Column, before2: Column, path: Column) -> Column:
@@ -157,11 +172,12 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int) ->
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 11) -> list:
-    """A random forest on labelled findings (word, before, before2, path, label)."""
+    """A random forest on labelled findings (word, before, before2, path, label); a label is for its word's last candidate."""
     n = findings.count()
     if n > MOST_FINDINGS:
         findings = findings.filter(F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < int(1_000_000 * MOST_FINDINGS / n))
-    parts = findings.withColumn("w", split_word(F.col("word")))
+    found = F.filter(pieces(F.col("word")), lambda p: is_candidate(p["value"]))
+    parts = findings.withColumn("w", F.get(found, F.size(found) - 1)).filter("w IS NOT NULL")
     f = features(F.col("w.value"), F.col("w.name"), F.col("before"), F.col("before2"), F.col("path"))
     rows = parts.select(f.alias("f"), "label").select("f.*", "label").collect()
     data = np.array(sorted(tuple(r) for r in rows), dtype=float)
@@ -202,14 +218,14 @@ def scan(docs: DataFrame, forest: list, text: str = "text", path: str | None = "
             F.struct(k.alias("place"), w.alias("word"), F.get("__words", k - 1).alias("before"), F.get("__words", k - 2).alias("before2")),
         ).otherwise(nothing),
     )
-    split = F.transform("__found", lambda c: F.struct(c["place"].alias("place"), c["before"].alias("before"), c["before2"].alias("before2"), split_word(c["word"]).alias("w")))
+    split = F.flatten(F.transform("__found", lambda c: F.transform(pieces(c["word"]), lambda p: F.struct(c["place"].alias("place"), c["before"].alias("before"), c["before2"].alias("before2"), p.alias("w")))))
     value = lambda c: c["w"]["value"]
     described = F.transform("__found", lambda c: F.struct(c["place"].alias("place"), value(c).alias("value"), features(value(c), c["w"]["name"], c["before"], c["before2"], F.col("__path")).alias("f")))
     scored = F.transform("__found", lambda c: F.struct(c["place"].alias("place"), c["value"].alias("value"), probability(forest, c["f"]).alias("score")))
     return (
         docs.select(*keep, where.alias("__path"), found.alias("__words"))
         .withColumn("__found", F.array_compact(pick))
-        .withColumn("__found", F.filter(split, lambda c: (F.length(value(c)) >= LEAST) & value(c).rlike("[0-9]")))
+        .withColumn("__found", F.filter(split, lambda c: is_candidate(value(c))))
         .withColumn("n_candidates", F.greatest(F.lit(0), F.coalesce(F.size("__found"), F.lit(0))).cast("long"))
         .withColumn("__found", described)
         .withColumn("__found", scored)
