@@ -1,7 +1,8 @@
 """Secret scans with a random forest that removes false positives, in DataFrame operations only.
 
-A word (between white space) is cut into values at all characters that values don't have; each value of 12 characters or
-more with a digit is a candidate, and a value that = or : joins to it in front is its name. A forest over its length, character transitions, dictionary coverage, the document's path and the neighbouring words decides whether
+A word (between white space) is cut into values at all characters that values don't have; a value that = or : joins to
+another in front is its name. Each value of 12 characters or more with a digit (or with a known prefix) is a candidate, and
+behind a telling name or neighbouring word each one of 8 characters or more. A forest over its length, character transitions, dictionary coverage, the document's path and the neighbouring words decides whether
 it is a secret. The forest is trained on labelled findings (a bounded table, the parameter ``findings``; by default
 generated by rule with a fixed seed) and written out as SQL conditions, so scoring stays within Spark's expressions.
 
@@ -23,20 +24,32 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import table
 
 LEAST = 12
+#: Behind a telling name or neighbouring word.
+LEAST_NAMED = 8
 THRESHOLD = 0.5
 TREES, DEPTH = 15, 6
 #: Labelled findings beyond so many rows are thinned by a hash of the word.
 MOST_FINDINGS = 20_000
 WORDS = """able access account action address admin after again agent alpha app apple area array asset auth back base batch beta big block blog board body book box branch build bug button byte cache call card case change chart check child city class clean click client cloud code color column com commit common config content copy core count create crypt current data date day debug default delete demo design dev device disk doc docker docs document domain down draft drive edit email end engine entry error event example export factory false feature field file filter find first fix flag folder font foo form frame front full function game git global graph green group guide handle hash head hello help here hidden home host house html http icon image img import index info init input issue item java job json just key kind label lang large last latest layer left level lib light line link linux list load local lock log login long loop machine mail main make map mark master max media menu merge message meta method min mobile mock mode model module month mouse name net network new next node note null number object old online open option order org output package page panel parent part pass path pattern pay phone photo pixel place plan play plugin point pool port post power print private process product profile project proxy public query queue quick random range read red release remote report request reset resource rest result return right role root route row rule run safe sample save scale scan schema score script search section select send server service session set share shell shop sign simple site size small snap some sort source space spec split stack staff stage start state static status step stop store stream string style sub submit super support switch system tab table tag target task team temp test text theme thing this thread time title todo tool top total track tree true type unit update upload url user util value version video view wait watch web week well width window with word work world write www year your zero zone""".split()
 COVER = "(" + "|".join(sorted({w for w in WORDS if len(w) >= 3}, key=lambda w: (-len(w), w))) + ")"
-NAMES = r"(?i)(passw|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private)"
+NAMES = r"(?i:passw|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth(?!or(?!i[sz]))|bearer|credential|private)"
+SHORT = "(?i:key|sig|signature|session|session_?id|code|database_?url)"
+#: Names that tell before = and : only; in prose they are words like others.
+SHORT_NAMES = rf"(?:^|[^A-Za-z0-9]){SHORT}$"
+KNOWN = r"^(?:sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9_]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[baprs]-[A-Za-z0-9-]{20,}|AKIA[0-9A-Z]{16}|npm_[A-Za-z0-9]{20,})"
 HARMLESS = r"(?i)(commit|sha|md5|uuid|guid|hash|checksum|digest|isbn|card|visa|phone|tel|mail|version|example|sample|build|order|invoice|ref)"
-#: A quote, escaped or as an entity; what stands between a name and its value; a value, with the padding of base64 code.
-QUOTE = r"""(?:\\*["'`]|&quot;|&#3[49];)?"""
+#: A quote, escaped or as an entity; what stands between a name and its value.
+QUOTE = r"""(?:\\{0,4}["'`]|&quot;|&#3[49];)?"""
 CHARS = "A-Za-z0-9+/_@~-"
-JOIN = rf"(?<=[={CHARS}]){QUOTE}\]?[=:]+>?{QUOTE}"
-PIECE = rf"({JOIN})?([{CHARS}](?:[.{CHARS}]*[{CHARS}])?(?:={{1,2}}+(?![=>]|{QUOTE}[{CHARS}]))?)"
-FEATURES = ("length", "changes", "digits", "uppers", "hexlike", "coverage", "slashes", "dots", "ats", "dashes", "known", "named", "near_name", "near_harmless", "test_path", "distinct")
+JOIN = rf"(?<=[={CHARS}]){QUOTE}\]?[=:]{{1,3}}>?{QUOTE}"
+#: Behind a telling name, a value goes on over other characters and over an & that starts neither a parameter nor an entity.
+TELLING = rf"(?:{NAMES}[A-Za-z0-9_.-]{{0,24}}|(?<![A-Za-z0-9]){SHORT})"
+FREE = r"""[^\s"'`,;&<>(){}\[\]|\\]"""
+WHOLE = rf"""(?<=[=:>"'`;])(?<={TELLING}{JOIN})(?![A-Za-z0-9_.-]{{0,24}}{NAMES}[A-Za-z0-9_.-]{{0,24}}{JOIN}){FREE}+(?:&+(?![A-Za-z0-9_.-]+=|#?[A-Za-z0-9]+;){FREE}+){{0,99}}(?<![.:])"""
+#: Any value, with the padding of base64 code.
+VALUE = rf"[{CHARS}](?:[.{CHARS}]*[{CHARS}])?(?:={{1,2}}+(?![=>]|{QUOTE}[{CHARS}]))?"
+PIECE = rf"({JOIN})?({WHOLE}|{VALUE})"
+FEATURES = ("length", "changes", "digits", "uppers", "hexlike", "coverage", "slashes", "dots", "ats", "dashes", "known", "named", "near_name", "near_assigned", "near_harmless", "test_path", "distinct")
 
 
 def pieces(word: Column) -> Column:
@@ -51,8 +64,24 @@ def pieces(word: Column) -> Column:
     return F.filter(named, lambda p: p["value"].isNotNull())  # the value moved on from the last place has no partner
 
 
-def is_candidate(value: Column) -> Column:
-    return (F.length(value) >= LEAST) & value.rlike("[0-9]")
+def nearby(before: Column, before2: Column) -> Column:
+    """The two words before."""
+    return F.concat_ws(" ", F.coalesce(before2, F.lit("")), F.coalesce(before, F.lit("")))
+
+
+def telling(name: Column) -> Column:
+    return name.rlike(NAMES) | name.rlike(SHORT_NAMES)
+
+
+def is_candidate(value: Column, name: Column, before: Column, before2: Column) -> Column:
+    told = telling(name) | nearby(before, before2).rlike(NAMES)
+    return (F.length(value) >= LEAST) & (value.rlike("[0-9]") | value.rlike(KNOWN)) | (F.length(value) >= LEAST_NAMED) & told
+
+
+def may_have_candidates(word: Column, before: Column, before2: Column) -> Column:
+    """False only for words without candidates."""
+    joined = word.rlike("[=:]") & (word.rlike(NAMES) | word.rlike(SHORT))
+    return (F.length(word) >= LEAST) & (word.rlike("[0-9]") | word.rlike(KNOWN.replace("^", ""))) | (F.length(word) >= LEAST_NAMED) & (joined | nearby(before, before2).rlike(NAMES))
 
 
 def features(value: Column, name: Column, before: Column, before2: Column, path: Column) -> Column:
@@ -60,7 +89,7 @@ def features(value: Column, name: Column, before: Column, before2: Column, path:
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     many = lambda rx: F.regexp_count(value, F.lit(rx)).cast("double")
     yes = lambda c: F.when(c, 1.0).otherwise(0.0)
-    near = F.concat_ws(" ", F.coalesce(before2, F.lit("")), F.coalesce(before, F.lit("")))
+    near = nearby(before, before2)
     lower = F.lower(value)
     made = {
         "length": n,
@@ -74,8 +103,9 @@ def features(value: Column, name: Column, before: Column, before2: Column, path:
         "ats": many(r"@"),
         "dashes": many(r"-"),
         "known": yes(value.rlike(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_|github_pat_|sk-|xox[baprs]-|npm_|eyJ[A-Za-z0-9_-]{8,}\.|AIza)")),
-        "named": yes(name.rlike(NAMES)),
+        "named": yes(telling(name)),
         "near_name": yes(near.rlike(NAMES)),
+        "near_assigned": yes(near.rlike(NAMES + r"""[A-Za-z0-9_.-]*["'`]? ?(?:[=:]+>?|is)$""")),
         "near_harmless": yes(near.rlike(HARMLESS) | name.rlike(HARMLESS)),
         "test_path": yes(F.coalesce(path, F.lit("")).rlike(r"(?i)(test|example|fixture|sample|mock|docs?/)")),
         "distinct": F.size(F.array_distinct(F.split(lower, ""))).cast("double") / n,
@@ -84,7 +114,10 @@ def features(value: Column, name: Column, before: Column, before2: Column, path:
 
 
 def findings_by_rule(spark: SparkSession, rows: int = 3000, seed: int = 7) -> DataFrame:
-    """Labelled findings: word, the two words before, path and label (1: a secret); half of each, always the same."""
+    """Labelled findings: word, the two words before, path and label (1: a secret); half of each, always the same.
+
+    To ``rows`` of the usual kinds come two thirds as many whose label hangs on a telling name or neighbouring word.
+    """
     rng = random.Random(seed)
     of = lambda chars, n: "".join(rng.choices(chars, k=n))
     low, hexa, upper = string.ascii_lowercase, "0123456789abcdef", string.ascii_uppercase + string.digits
@@ -143,6 +176,43 @@ def findings_by_rule(spark: SparkSession, rows: int = 3000, seed: int = 7) -> Da
         word, before, before2 = secret() if k % 2 else harmless()
         tests = rng.random() < (0.1 if k % 2 else 0.3)
         out.append((word, before, before2, "tests/fixtures/data.txt" if tests else f"src{rng.randint(0, 20)}", k % 2))
+    def weak() -> tuple[str, str, str]:
+        """A secret that only its name or a neighbouring word tells: short, without digits, or with other characters."""
+        phrase = rng.choice((of(low, rng.randint(8, 26)), of(low, rng.randint(8, 26)), "".join(rng.choices(WORDS, k=rng.randint(4, 6)))))
+        mixed = rng.choice((of(low, rng.randint(4, 8)) + of(string.digits, rng.randint(1, 3)) + of(low, rng.randint(3, 5)), of(low + string.digits, rng.randint(7, 11)) + "7", of(every, rng.randint(8, 15))))
+        other = of(every, rng.randint(3, 9)) + rng.choice("&!#$%^*?@:") + of(every, rng.randint(5, 12))
+        body, kind = rng.choice((phrase, mixed, mixed, other)), rng.randrange(6)
+        if kind < 3:
+            return name() + rng.choice("=:") + quote(body), plain(), plain()
+        if kind == 3:
+            return quote(rng.choice((phrase, mixed))), rng.choice(("=", ":", "is")), name()
+        if kind == 4:
+            return quote(rng.choice((phrase, mixed))), name() + rng.choice((":", "=")), plain()
+        return quote(mixed), name(), plain()
+
+    def named_harmless() -> tuple[str, str, str]:
+        """A word that follows a telling one and is no secret: a placeholder, a reference in code, prose."""
+        pick, kind = (lambda k: rng.choices(WORDS, k=k)), rng.randrange(10)
+        tell = rng.choice((name(), "private", "tokens", "passwords", "credentials", "secret", "authentication", "token", "password"))
+        if kind == 0:
+            return name() + rng.choice("=:") + quote(rng.choice(("your", "example", "sample", "test", "changeme", "my")) + rng.choice("_-") + rng.choice("_-").join(pick(2))), plain(), plain()
+        if kind == 1:
+            return name() + rng.choice("=:") + rng.choice(("process.env", "os.environ", "self", "request.form", "config", "this")) + "." + rng.choice("_.").join(pick(2)), plain(), plain()
+        if kind == 2:
+            return name() + rng.choice("=:") + quote(rng.choice("*x.X-") * rng.randint(8, 20)), plain(), plain()
+        if kind in (3, 8, 9):
+            return name() + rng.choice("=:") + rng.choice(("_".join(pick(2)), pick(1)[0] + "".join(w.title() for w in pick(2)))), plain(), plain()
+        if kind == 4:
+            return rng.choice((of(low, rng.randint(8, 14)), "".join(pick(2)), of(low, rng.randint(8, 12)).title())) + rng.choice(("", "", ",", ".")), tell, plain()
+        if kind == 5:
+            return rng.choice((of(low, rng.randint(8, 14)), "".join(pick(2)))) + rng.choice(("", "", ",", ".")), rng.choice(("of", "and", "for", plain())), tell
+        if kind == 6:
+            return rng.choice(("required", "optional", "disabled", "undefined", "protected", "unlimited", "settings", "management", "development", "_".join(pick(2)))), rng.choice((name() + ":", "is")), tell
+        return f"https://www.{plain()}.com/{plain()}/{rng.choice(WORDS)}", tell, plain()
+
+    for k in range(rows * 2 // 3):
+        word, before, before2 = weak() if k % 2 else named_harmless()
+        out.append((word, before, before2, f"src{rng.randint(0, 20)}", k % 2))
     return spark.createDataFrame(out, "word string, before string, before2 string, path string, label int")
 
 
@@ -176,7 +246,7 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     n = findings.count()
     if n > MOST_FINDINGS:
         findings = findings.filter(F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < int(1_000_000 * MOST_FINDINGS / n))
-    found = F.filter(pieces(F.col("word")), lambda p: is_candidate(p["value"]))
+    found = F.filter(pieces(F.col("word")), lambda p: is_candidate(p["value"], p["name"], F.col("before"), F.col("before2")))
     parts = findings.withColumn("w", F.get(found, F.size(found) - 1)).filter("w IS NOT NULL")
     f = features(F.col("w.value"), F.col("w.name"), F.col("before"), F.col("before2"), F.col("path"))
     rows = parts.select(f.alias("f"), "label").select("f.*", "label").collect()
@@ -214,7 +284,7 @@ def scan(docs: DataFrame, forest: list, text: str = "text", path: str | None = "
     pick = F.transform(
         F.col("__words"),
         lambda w, k: F.when(
-            (F.length(w) >= LEAST) & w.rlike("[0-9]"),
+            may_have_candidates(w, F.get("__words", k - 1), F.get("__words", k - 2)),
             F.struct(k.alias("place"), w.alias("word"), F.get("__words", k - 1).alias("before"), F.get("__words", k - 2).alias("before2")),
         ).otherwise(nothing),
     )
@@ -225,7 +295,7 @@ def scan(docs: DataFrame, forest: list, text: str = "text", path: str | None = "
     return (
         docs.select(*keep, where.alias("__path"), found.alias("__words"))
         .withColumn("__found", F.array_compact(pick))
-        .withColumn("__found", F.filter(split, lambda c: is_candidate(value(c))))
+        .withColumn("__found", F.filter(split, lambda c: is_candidate(value(c), c["w"]["name"], c["before"], c["before2"])))
         .withColumn("n_candidates", F.greatest(F.lit(0), F.coalesce(F.size("__found"), F.lit(0))).cast("long"))
         .withColumn("__found", described)
         .withColumn("__found", scored)

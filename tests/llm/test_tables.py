@@ -122,6 +122,21 @@ def test_every_value_of_a_word_is_a_candidate(spark):
     assert all([(p["name"], p["value"]) for p in r["p"]][-1] == ("api_key", key) for r in rows)
 
 
+def test_weak_values_behind_telling_names(spark):
+    weak = ["correcthorsebatterystaple", "hunter2abc", "a1b2c3d4e5", "Tr0ub4dor&3xyzabcde9"]
+    texts = [f"{n}{q}{v}{q}" for v in weak for n, q in (("password=", ""), ("api_key=", '"'), ("x&db_password:", "'"))]
+    texts += [f"the password {j} {v}" for v in weak[:2] for j in ("is", "=")]
+    values = [v for v in weak for _ in range(3)] + [v for v in weak[:2] for _ in range(2)]
+    harmless = ["password protection is a private university matter", "password=your_password_here", "token:getUserToken", "secret=************", "author: Johnathan Featherstone"]
+    query = "https://h/v1?access_token=abcdefgh&code=hgfedcba&page=3"
+    df = spark.createDataFrame(list(enumerate([*texts, *harmless, query])), "doc_id int, text string")
+    found = lambda forest: {r["doc_id"]: [s["value"] for s in r["secrets"]] for r in secrets.scan(df, forest, path=None).collect()}
+    every, got = found([0.7]), found(secrets.train(secrets.findings_by_rule(spark)))
+    assert [every[k] for k in range(len(values))] == [[v] for v in values] and every[len(texts) + len(harmless)] == ["abcdefgh", "hgfedcba"]
+    assert [got[k] for k in range(len(values))] == [[v] for v in values]
+    assert [got[len(texts) + k] for k in range(len(harmless))] == [[]] * len(harmless)
+
+
 def test_toxic_words_learned_and_found(spark):
     import random
 
