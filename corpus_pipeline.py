@@ -3,8 +3,8 @@
 Each stage takes what its predecessor kept and returns the columns of ``documents``; the last returns the documents'
 token counts and digests. Between stages the rows are written as Parquet in the shared folder and read again.
 
-Null and empty texts pass all stages; an empty table gives an empty result; other columns of the input stay until the
-last stage.
+Null and empty texts and texts without words pass all stages, however many are alike; an empty table gives an empty
+result; other columns of the input stay until the last stage.
 """
 
 from __future__ import annotations

@@ -356,6 +356,7 @@ def known_classes(docs: DataFrame, text: str, row_id: str, threshold: float) ->
         (F.when(F.col("size") > 0, F.col("n") - 1).otherwise(0) + F.coalesce("documents", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"),
         F.col("n").alias("n_copies"),
+        F.col("size").alias("__size"),
     )
 
 
@@ -369,9 +370,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with all columns, of each class only the document with the least id; null texts all stay."""
+    """The rows of ``docs`` with all columns, of each class only the document with the least id; null texts and texts without words all stay."""
     known = known_classes(docs, text, row_id, threshold)
-    shared = checkpoint(known.filter("class_id IS NOT NULL AND (n_copies > 1 OR n_linked_texts > 0)").select("__k", F.col("class_id").alias("__class")))
+    shared = checkpoint(known.filter("class_id IS NOT NULL AND __size > 0 AND (n_copies > 1 OR n_linked_texts > 0)").select("__k", F.col("class_id").alias("__class")))
     side = F.broadcast(shared) if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else shared.hint("shuffle_hash")
     keyed = docs.withColumn("__k", F.unhex(F.md5(text))).join(side, "__k", "left")
     kept = keyed.filter(F.col("__class").isNull() | (F.col(row_id) == F.col("__class")))

@@ -71,6 +71,12 @@ def test_one_document_of_each_group_stays(docs):
     assert stay == [0, 1, 3, 4, 5, 6, 7, 9]
 
 
+def test_all_texts_without_words_stay(spark):
+    rows = [(1, ""), (2, ""), (3, " \n"), (4, " \n"), (5, "--"), (6, "--"), (7, None), (8, None), (9, "same text"), (10, "same text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in ngramjoin.drop_near_duplicates(df).collect()) == list(range(1, 10))
+
+
 def test_repeated_passage_goes_once_it_stood_earlier(docs):
     lines = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
     spans = {r["doc_id"]: r["text"] for r in spandedup.dedup_spans(docs).collect()}
