@@ -339,7 +339,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def known_classes(docs: DataFrame, text: str, row_id: str, threshold: float) -> DataFrame:
-    """For each distinct text (digest __k): class_id and the counts of its documents' rows."""
+    """For each distinct text (digest __k): class_id, the digest __group of its class and the counts of its documents' rows."""
     classes = checkpoint(classes_of(docs, text, row_id))
     left = checkpoint(possible(candidates(classes), threshold))
     sets = shingle_sets(docs, left.select("k").distinct(), text)
@@ -349,7 +349,7 @@ def known_classes(docs: DataFrame, text: str, row_id: str, threshold: float) ->
     member = member.unionByName(member.select(F.col("m").alias("v"), "m").distinct())
     grouped = member.join(classes.select(F.col("k").alias("v"), "least"), "v")
     smallest = grouped.groupBy("m").agg(F.min("least").alias("group_least"))
-    named = grouped.join(smallest, "m").select(F.col("v").alias("k"), "group_least")
+    named = grouped.join(smallest, "m").select(F.col("v").alias("k"), "group_least", "m")
     return classes.select("k", "n", "least", "size").join(counts, "k", "left").join(named, "k", "left").select(
         F.col("k").alias("__k"),
         F.coalesce("group_least", "least").alias("class_id"),
@@ -357,6 +357,7 @@ def known_classes(docs: DataFrame, text: str, row_id: str, threshold: float) ->
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"),
         F.col("n").alias("n_copies"),
         F.col("size").alias("__size"),
+        F.coalesce("m", "k").alias("__group"),
     )
 
 
@@ -370,14 +371,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with all columns, of each class only the document with the least id; null texts and texts without words all stay."""
+    """The rows of ``docs`` with all columns, of each class only the document with the least id (with none, if no id is set).
+
+    Null texts and texts without words all stay.
+    """
     known = known_classes(docs, text, row_id, threshold)
-    shared = checkpoint(known.filter("class_id IS NOT NULL AND __size > 0 AND (n_copies > 1 OR n_linked_texts > 0)").select("__k", F.col("class_id").alias("__class")))
+    shared = checkpoint(known.filter("__size > 0 AND (n_copies > 1 OR n_linked_texts > 0)").select("__k", "__group", F.col("class_id").alias("__class")))
     side = F.broadcast(shared) if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else shared.hint("shuffle_hash")
     keyed = docs.withColumn("__k", F.unhex(F.md5(text))).join(side, "__k", "left")
-    kept = keyed.filter(F.col("__class").isNull() | (F.col(row_id) == F.col("__class")))
-    if docs.groupBy(row_id).count().filter("count > 1").limit(1).count():  # rows that share an id: one of them stays too
-        kept = kept.filter("__class IS NULL").unionByName(kept.filter("__class IS NOT NULL").dropDuplicates(["__class"]))
+    kept = keyed.filter(F.col("__group").isNull() | F.col(row_id).eqNullSafe(F.col("__class")))
+    if docs.groupBy(row_id).count().filter("count > 1").limit(1).count():  # rows that share an id, or have none: one of a class stays too
+        kept = kept.filter("__group IS NULL").unionByName(kept.filter("__group IS NOT NULL").dropDuplicates(["__group"]))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -77,6 +77,14 @@ def test_all_texts_without_words_stay(spark):
     assert sorted(r["doc_id"] for r in ngramjoin.drop_near_duplicates(df).collect()) == list(range(1, 10))
 
 
+def test_one_of_each_class_stays_with_repeated_and_null_ids(spark):
+    rows = [(5, "first text"), (9, "first text"), (5, "second one"), (10, "second one"), (None, "third of them"), (None, "third of them"), (None, "fourth here"), (3, "fourth here"), (5, "fifth alone")]
+    rows += [(5, LONG), (5, LONG + " changed"), (11, LONG)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0), r["text"].removesuffix(" changed")) for r in ngramjoin.drop_near_duplicates(df).collect())
+    assert got == sorted([(5, "first text"), (5, "second one"), (0, "third of them"), (3, "fourth here"), (5, "fifth alone"), (5, LONG)])
+
+
 def test_repeated_passage_goes_once_it_stood_earlier(docs):
     lines = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
     spans = {r["doc_id"]: r["text"] for r in spandedup.dedup_spans(docs).collect()}
