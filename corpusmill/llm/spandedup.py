@@ -1,6 +1,6 @@
 """Substring dedup by sliding sentence spans.
 
-A span is the shortest run of consecutive sentences with three of them and 24 words, or with 50 words. Every span that
+A span is the shortest run of consecutive sentences with two of them and 8 words, or with 50 words. Every span that
 begins or ends at a sentence is hashed (128 bits). Spans are compared over all documents; sentences in a span that is not
 the first of its kind (by document id, then place) are removed.
 
@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from corpusmill.llm.common import append_columns, settled, table
 
-SENTENCES = 3
-SPAN_WORDS = 24
+SENTENCES = 2
+SPAN_WORDS = 8
 LONG_WORDS = 50
 #: Pieces of a text that together are the text: up to a sentence end or line end, with the white space after it.
 PIECE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")

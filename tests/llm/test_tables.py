@@ -93,6 +93,15 @@ def test_repeated_passage_goes_once_it_stood_earlier(docs):
         assert got[3].startswith("first own line") and got[3].endswith("and an end") and got[4] is None and got[5] == ""
 
 
+def test_short_runs_of_sentences_go_too(spark):
+    two = " ".join(f"one{k}" for k in range(24)) + ". " + " ".join(f"two{k}" for k in range(24)) + ". "
+    three = "".join(" ".join(f"{n}{k}" for k in range(7)) + ". " for n in ("a", "b", "c"))
+    rows = [(k, f"Own start {k}. {run}Own end {k}.") for k, run in enumerate((two, two, three, three))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in spandedup.dedup_spans(df).collect()}
+    assert got == {0: (rows[0][1], 0), 1: ("Own start 1. Own end 1.", 2), 2: (rows[2][1], 0), 3: ("Own start 3. Own end 3.", 3)}
+
+
 def test_decontamination_in_blocks_equals_one_pass(docs, benchmark):
     one = decontaminate.decontaminate(docs, benchmark, keep=["doc_id"]).collect()
     many = decontaminate.decontaminate(docs, benchmark, keep=["doc_id"], block_words=1).collect()
