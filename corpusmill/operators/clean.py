@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill import __version__
 from corpusmill.functions import markup, tokens
@@ -56,7 +56,8 @@ class CleanOptions:
         return {"fit": f"fit {self.fit} budget", "fit_and_max_tokens": f"fit {self.fit} and max_tokens budget"}.get(self.limit_source, "max_tokens budget")
 
 
-@F.pandas_udf("bigint")
+# A type object: a DDL string would need a session when the module is imported.
+@F.pandas_udf(T.LongType())
 def count_tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield batch.fillna("").map(tokens.count)
