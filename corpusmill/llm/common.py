@@ -62,6 +62,53 @@ def settled(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return each
 
 
+def named(name: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def clashing(names: Iterable[str], new: Iterable[str]) -> list[str]:
+    """Those names that Spark can't tell from new ones: equal but for case."""
+    low = {n.lower() for n in new}
+    return [n for n in names if n.lower() in low]
+
+
+def beside(names: Iterable[str], new: Iterable[str]) -> list[str]:
+    """Those names that stay beside new columns."""
+    names = list(names)
+    gone = set(clashing(names, new))
+    return [n for n in names if n not in gone]
+
+
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Names that no column of ``df`` has, one for each stem."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Keys with more rows than this share of all are joined by broadcast: there are at most this many of them.
+HOT_KEYS = 1000
+
+
+def join_by_key(rows: DataFrame, known: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` joined with ``known``, which has one row for each key and in ``n`` how many rows the key has.
+
+    A key with more than a thousandth of all rows would keep one task busy; of such keys there are a thousand at most, so
+    they are broadcast. All others are joined by shuffle. Both inputs should be checkpointed: they are read twice.
+    """
+    total = known.agg(F.sum(n)).first()[0] or 0
+    hot = known.filter(F.col(n) * HOT_KEYS > total).drop(n)
+    often = rows.join(F.broadcast(hot), keys)
+    seldom = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return often.unionByName(seldom.join(known.filter(F.col(n) * HOT_KEYS <= total).drop(n), keys))
+
+
 def append_columns(
     df: DataFrame,
     fields: list[T.StructField],
@@ -73,13 +120,13 @@ def append_columns(
 
     ``rows()`` runs once in each task and returns the function for its batches, which gives the new columns, or those
     and a mask of the rows that stay. ``keep`` names the columns of ``df`` that stay (None: all); ``inputs`` are read
-    but need not stay. A column of ``df`` named like a new one gives way to it.
+    but need not stay. A column of ``df`` named like a new one, be it but for case, gives way to it.
     """
-    new = {f.name for f in fields}
-    keep = [c for c in (df.columns if keep is None else keep) if c not in new]
+    keep = beside(df.columns if keep is None else keep, [f.name for f in fields])
     inner = {c: f"__in_{i}" for i, c in enumerate(dict.fromkeys([*keep, *inputs]))}
-    source = df.select(*[F.col(f"`{c}`").alias(a) for c, a in inner.items()])
-    schema = T.StructType([*(source.schema[inner[c]] for c in keep), *fields])
+    source = df.select(*[named(c).alias(a) for c, a in inner.items()])
+    made = [T.StructField(f"__out_{i}", f.dataType, f.nullable) for i, f in enumerate(fields)]
+    schema = T.StructType([*(source.schema[inner[c]] for c in keep), *made])
     arrow = to_arrow_schema(schema)
     names = {a: c for c, a in inner.items()}
     stay = [inner[c] for c in keep]
@@ -97,18 +144,28 @@ def append_columns(
             yield out.filter(mask) if mask is not None else out
 
     return source.mapInArrow(settled(run), schema).select(
-        *[F.col(inner[c]).alias(c) for c in keep], *[F.col(f.name) for f in fields]
+        *[F.col(inner[c]).alias(c) for c in keep], *[F.col(m.name).alias(f.name) for m, f in zip(made, fields, strict=True)]
     )
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; where none is named (tests on one machine), one in the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    """The folder that the cluster names for checkpoints; on one machine, where none is named, one in the warehouse.
+
+    A cluster without the setting is refused: the default warehouse is a folder of one machine there.
+    """
+    named_folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named_folder:
+        return named_folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder, so that results survive lost executors."""
+    """Cut the lineage in the shared folder, so that results survive lost executors.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints Spark deletes the files once the result is no longer used.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
