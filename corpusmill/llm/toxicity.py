@@ -1,12 +1,13 @@
 """Toxicity by maximum-scoring segments.
 
-Each word has a log-odds score between toxic and clean texts, with an informative Dirichlet prior from all training
-words; a word that is not marked itself has the score of its longest marked beginning. Words that are not markedly
-toxic share one small negative score, set so that under clean text the expected exponential of a score is 1: then the
-best segment of a clean text follows an extreme-value law with decay 1. A linear scan finds all maximal scoring segments
-of a text; each is a passage, significant if its score stands out from what the law allows for a text of that length.
-The best passage and the sum of the significant ones, both in extreme-value units, give the document's probability
-through a logistic fit on the training rows.
+Every word has a log-odds score between toxic and clean texts, from the numbers of texts that hold it, with an informative
+Dirichlet prior: the share of toxic texts among those of its six-byte beginning, which has that of its five-byte one as
+prior, and so on up to that of all words. A score moves two standard errors towards 0, so that thin evidence counts little;
+a word seen too seldom has the score of its longest known beginning. A drift makes the expected exponential of a score 1
+under clean text: then the best segment of a clean text follows an extreme-value law with decay 1. A linear scan finds all
+maximal scoring segments of a text; each is a passage, significant if its score stands out from what the law allows for a
+text of that length. The best passage and the sum of the significant ones, both in extreme-value units, give the document's
+probability through a logistic fit on the training rows.
 
 Null and empty texts have no passages and get the score of a text without any, as do texts of unknown words. Texts of
 any length take linear time. Repeated rows are judged alike; passages of equal score keep the order of the text. Without
@@ -17,6 +18,7 @@ like a result gives way to it.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +26,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import append_columns, as_bytes, checkpoint, crc_bucket, settled, table, words
+from corpusmill.llm.common import append_columns, as_bytes, checkpoint, crc_bucket, named, settled, table, words
 
 #: The model is fitted on about so many labelled rows at most; its lexicon is bounded by the words of so many texts.
 SAMPLE = 20_000
-PRIOR_WORDS = 10_000.0
-LEAST_Z = 3.0
-LEAST_DOCS = 4
+#: Texts that the prior of a word or a beginning counts for.
+PRIOR_TEXTS = 20.0
+#: Standard errors by which scores move towards 0.
+ERRORS = 2.0
+#: A word or a beginning has a score of its own from so many texts on, and from one text in so many of the sample. The
+#: second bounds the lexicon by the words of so many texts, whatever the sample.
+LEAST_TEXTS, ONE_IN = 4, 2_000
 MOST_SCORE = 8.0
 #: Bytes of the word beginnings that are scored too, and the mark that tells them from words.
 BEGINNINGS = (6, 5, 4)
@@ -42,32 +48,32 @@ SIGNIFICANT = 0.05
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments [start, end) of a sequence, by the linear-time scan over cumulative sums.
+    """All maximal scoring segments [start, end) of a sequence, by a scan over cumulative sums that takes linear time.
 
-    Runs between positive scores are taken in one step, as no segment begins or ends inside them.
+    Runs between positive scores are taken in one step, as no segment begins or ends inside them. Each open segment knows
+    the nearest earlier one with a smaller left sum: a search follows these links, and a segment that a search has passed
+    lies behind a link from then on, so that it is never passed again.
     """
     up = np.flatnonzero(score > 0)
     if not len(up):
         return []
     total = np.concatenate([[0.0], np.cumsum(score)])
-    open_: list[tuple[float, float, int, int]] = []  # left sum, right sum, start, end
-    for k in up.tolist():
-        left, right, start = float(total[k]), float(total[k + 1]), k
-        while open_:
-            # The nearest open segment with a smaller left sum; those between can never be joined again.
-            j = len(open_) - 1
-            while j >= 0 and open_[j][0] >= left:
-                j -= 1
-            if j < 0 or open_[j][1] >= right:
-                break
-            left, start = open_[j][0], open_[j][2]
+    starts, ends, lefts, rights = up.tolist(), (up + 1).tolist(), total[up].tolist(), total[up + 1].tolist()
+    open_: list[tuple[float, float, int, int, int]] = []  # left sum, right sum, start, end, link
+    for start, end, left, right in zip(starts, ends, lefts, rights, strict=True):
+        j = len(open_) - 1
+        while j >= 0 and open_[j][0] >= left:
+            j = open_[j][4]
+        while j >= 0 and open_[j][1] < right:
+            left, _, start, _, link = open_[j]
             del open_[j:]
-        open_.append((left, right, start, k + 1))
-    return [(a, b, right - left) for left, right, a, b in open_]
+            j = link
+        open_.append((left, right, start, end, j))
+    return [(a, b, right - left) for left, right, a, b, _ in open_]
 
 
 class Scores(dict):
-    """Score of each word, looked up once: its own, else that of its longest marked beginning, else the drift."""
+    """Score of each word, looked up once: its own, else that of its longest known beginning, else that of no evidence."""
 
     def __init__(self, lexicon: dict[bytes, float], drift: float):
         super().__init__()
@@ -78,7 +84,7 @@ class Scores(dict):
         for k in BEGINNINGS:
             if own is None and len(word) > k:
                 own = self.lexicon.get(MARK + word[:k])
-        own = self.drift if own is None else own
+        own = (0.0 if own is None else own) + self.drift
         if len(self) >= CACHE:
             self.clear()
         if len(word) <= 64:
@@ -140,42 +146,74 @@ class Model:
 
 def sampled(labels: DataFrame, learn: Column, row_id: str, label: str, sample: int) -> DataFrame:
     """About ``sample`` labelled ids at most, chosen by hash; an id labelled twice counts by its larger label."""
-    rows = labels.filter(learn & F.col(label).isNotNull() & F.col(row_id).isNotNull())
+    rows = labels.filter(learn).select(named(row_id).alias("__id"), named(label).alias("__label")).filter("__id IS NOT NULL AND __label IS NOT NULL")
     n = rows.count()
     share = max(1, int(1_000_000 * min(1.0, sample / max(n, 1))))
-    draw = F.pmod(F.xxhash64(F.col(row_id)), F.lit(1_000_000))
-    return rows.filter(draw < share).groupBy(row_id).agg(F.max(label).cast("int").alias("__label"))
+    draw = F.pmod(F.xxhash64("__id"), F.lit(1_000_000))
+    return rows.filter(draw < share).groupBy("__id").agg(F.max("__label").cast("int").alias("__label"))
 
 
-def word_counts(rows: DataFrame, text: str) -> DataFrame:
-    """Word, and its occurrences and texts by label; counted inside each task first."""
-    schema = "word binary, toxic long, clean long, toxic_docs long"
+def word_counts(rows: DataFrame) -> DataFrame:
+    """Word, the toxic and clean texts that hold it, and its occurrences in clean ones; counted inside each task first."""
+    names = ("toxic", "clean", "said")
 
     def run(batches):
-        count, docs = (Counter(), Counter()), Counter()
+        counts = tuple(Counter() for _ in names)
 
         def flush():
-            every = list(count[0].keys() | count[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), *(pa.array([c[w] for w in every], pa.int64()) for c in (count[1], count[0], docs))], names=["word", "toxic", "clean", "toxic_docs"])
-            for c in (*count, docs):
+            every = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), *(pa.array([c[w] for w in every], pa.int64()) for c in counts)], names=["word", *names])
+            for c in counts:
                 c.clear()
 
         for batch in batches:
             for t, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 found = words(t)
-                count[int(y > 0)].update(found)
-                if y > 0:
-                    docs.update(set(found))
-            if len(count[0]) + len(count[1]) > 500_000:
+                counts[0 if y > 0 else 1].update(set(found))
+                if y <= 0:
+                    counts[2].update(found)
+            if len(counts[0]) + len(counts[1]) > 500_000:
                 yield from flush()
         yield from flush()
 
-    counted = rows.select(F.col(text), F.col("__label")).mapInArrow(settled(run), schema)
-    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "toxic_docs")])
-
-
-def drift_for(counts: DataFrame, lexicon: dict[bytes, float], n0: int) -> float:
-    """The score of unmarked words with which exp(score) has the mean 1 over the words of clean texts."""
+    counted = rows.mapInArrow(settled(run), "word binary, toxic long, clean long, said long")
+    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def shares(counts: DataFrame, overall: float) -> DataFrame:
+    """Words and marked beginnings: the texts that hold them (by word) and the share of toxic ones, smoothed by the prior."""
+    smooth = lambda prior: (F.col("toxic") + PRIOR_TEXTS * prior) / (F.col("toxic") + F.col("clean") + PRIOR_TEXTS)
+    texts = (F.col("toxic") + F.col("clean")).alias("texts")
+    levels: list[DataFrame] = []
+    for k in sorted(BEGINNINGS):
+        level = counts.filter(F.length("word") > k).groupBy(F.substring("word", 1, k).alias("start")).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        prior = F.lit(overall)
+        if levels:
+            above = levels[-1].select(F.col("start").alias("above"), F.col("share").alias("prior"))
+            level, prior = level.join(above, F.substring("start", 1, k - 1) == F.col("above")), F.col("prior")
+        levels.append(checkpoint(level.select("start", texts, smooth(prior).alias("share"))))
+    begun = reduce(DataFrame.unionByName, levels)
+    above = begun.select(F.col("start").alias("above"), F.col("share").alias("prior"))
+    longest = F.substring("word", F.lit(1), F.least(F.lit(max(BEGINNINGS)), F.length("word") - 1))
+    own = counts.join(above, longest == F.col("above"), "left").select("word", texts, smooth(F.coalesce("prior", F.lit(overall))).alias("share"))
+    return own.unionByName(begun.select(F.concat(F.lit(MARK), "start").alias("word"), "texts", "share"))
+
+
+def lexicon_of(counts: DataFrame, n_texts: int) -> dict[bytes, float]:
+    """Scores of the words and beginnings that enough texts hold; their number is bounded by the words of ONE_IN texts."""
+    toxic, clean = counts.agg(F.sum("toxic"), F.sum("clean")).first()
+    overall = toxic / (toxic + clean)
+    known = shares(counts, overall).filter(F.col("texts") >= max(LEAST_TEXTS, n_texts // ONE_IN))
+    share = F.col("share")
+    gap = F.log(share / (1 - share)) - float(np.log(overall / (1 - overall)))
+    error = 1 / F.sqrt((F.col("texts") + PRIOR_TEXTS) * share * (1 - share))
+    score = F.least(F.signum(gap) * F.greatest(F.lit(0.0), F.abs(gap) - ERRORS * error), F.lit(MOST_SCORE))
+    got = known.select("word", score.alias("score")).toArrow()
+    return dict(zip(got.column("word").to_pylist(), got.column("score").to_pylist(), strict=True))
+
+
+def drift_for(counts: DataFrame, lexicon: dict[bytes, float]) -> float:
+    """What to add to each score so that exp(score) has the mean 1 over the words of clean texts; never above -0.02."""
     shared = counts.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
@@ -183,32 +221,23 @@ def drift_for(counts: DataFrame, lexicon: dict[bytes, float], n0: int) -> float:
             scores = Scores(shared.value, 0.0)
             s = np.array([scores[w] for w in batch.column(0).to_pylist()], dtype=float)
             c = np.array(batch.column(1), dtype=float)
-            yield pa.RecordBatch.from_arrays([pa.array([float(c[s != 0].sum())]), pa.array([float((c * np.exp(s))[s != 0].sum())])], names=["mass", "lifted"])
+            yield pa.RecordBatch.from_arrays([pa.array([float(c.sum())]), pa.array([float((c * np.exp(s)).sum())])], names=["mass", "lifted"])
 
-    mass, lifted = counts.select("word", "clean").mapInArrow(settled(run), "mass double, lifted double").agg(F.sum("mass"), F.sum("lifted")).first()
-    mass, lifted = (mass or 0) / n0, (lifted or 0) / n0
-    return float(min(np.log(max(1 - lifted, 0.5) / max(1 - mass, 0.5)), -0.02))
+    mass, lifted = counts.select("word", "said").mapInArrow(settled(run), "mass double, lifted double").agg(F.sum("mass"), F.sum("lifted")).first()
+    return float(min(-np.log(lifted / mass), -0.02)) if mass else -0.02
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", row_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model | None:
     """Lexicon, extreme-value law and calibration from a bounded sample of the labelled rows that ``learn`` allows."""
     chosen = sampled(labels, learn, row_id, label, sample)
     # The sample is bounded by its parameter, so its ids may be broadcast.
-    rows = checkpoint(docs.select(row_id, text).join(F.broadcast(chosen), row_id).select(text, "__label"))
-    counts = checkpoint(word_counts(rows, text))
-    n1, n0 = counts.agg(F.sum("toxic"), F.sum("clean")).first()
-    if not n1 or not n0:
+    rows = checkpoint(docs.select(named(row_id).alias("__id"), named(text).alias("__text")).join(F.broadcast(chosen), "__id").select("__text", "__label"))
+    counts = checkpoint(word_counts(rows))
+    toxic, clean = counts.agg(F.sum("toxic"), F.sum("clean")).first()
+    if not toxic or not clean:
         return None
-    starts = F.array(*[F.when(F.length("word") > k, F.concat(F.lit(MARK), F.substring("word", 1, k))) for k in BEGINNINGS])
-    begun = counts.select(F.explode(F.array_compact(starts)).alias("word"), "toxic", "clean", "toxic_docs")
-    every = counts.unionByName(begun.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "toxic_docs")]))
-    prior = (F.col("toxic") + F.col("clean")) * (PRIOR_WORDS / (n1 + n0))
-    own, other = F.col("toxic") + prior, F.col("clean") + prior
-    gap = F.log(own / (n1 + PRIOR_WORDS - own)) - F.log(other / (n0 + PRIOR_WORDS - other))
-    z = gap / F.sqrt(1 / own + 1 / other)
-    marked = every.withColumns({"gap": gap, "z": z}).filter((F.col("z") >= LEAST_Z) & (F.col("toxic_docs") >= LEAST_DOCS) & (F.col("gap") > 1))
-    lexicon = {bytes(r["word"]): min(r["gap"], MOST_SCORE) for r in marked.select("word", "gap").collect()}
-    model = Model(lexicon, drift_for(counts, lexicon, n0))
+    lexicon = lexicon_of(counts, rows.count())
+    model = Model(lexicon, drift_for(counts, lexicon))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
