@@ -4,16 +4,21 @@ Units are the lines of a text with at least one word. A run of consecutive lines
 all is repeated if the same run stands earlier: in a document with a smaller id, or further up in the same one. All
 lines of later runs are deleted, and blank ones between them.
 
-For each line the shortest runs with enough words that begin or end at it are windows. The window's smallest line hash,
-at its first place, is its fingerprint: equal windows have equal fingerprints, so a repeated run always shares one, and
-only fingerprints found at more than one place are followed up. The windows around those are compared as wholes, which
-extends the match both ways from the fingerprint: every line of a repeated run lies in a window of that run. Windows
-that are not the first of their kind mark their lines, and marked lines are deleted.
+1. For each line the shortest runs with enough words that begin or end at it are windows. A window's smallest line hash,
+   at its first place, is selected as its fingerprint: a repeated run holds equal windows, so it always shares one.
+2. Only fingerprints and their positions are shuffled first; those of one position alone go no further.
+3. Around the other positions the match is extended: line by line to the left and to the right, as far as the windows
+   go that selected the position, into a hash for each side. Positions are joined by fingerprint and both sides: each
+   one with the first position that agrees with it over the whole window.
+4. Matches of one document with one other on the same diagonal that touch are joined into runs, and runs are deleted.
+
+Extensions are hashes and not pairs of positions, so a line that stands in a third of all documents makes as many rows as
+it has places; a key with more than a thousandth of all rows is joined by broadcast.
 
 Null texts stay null and have no lines; texts without words stay as they are. Rows with the same id and text are one
 document (each such row gets the same result); with the same id and another text, the text's hash decides which is
-earlier. Null ids come first. All texts are read whole; hot lines and large groups of copies are only counted and joined
-by key, never gathered. Columns of ``docs`` stay; ones named like a result give way to it.
+earlier. Null ids come first; ids may be of any type that has an order. All texts are read whole. Columns of ``docs``
+stay; ones named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import checkpoint, table
+from corpusmill.llm.common import beside, checkpoint, join_by_key, named, table, unused
 
 RUN_WORDS = 50
 
@@ -31,25 +36,26 @@ def n_words(line: Column) -> Column:
 
 
 def windows(lines: Column, run_words: int) -> Column:
-    """Windows (first, size, fingerprint's place, its hash, whole hash) of an array of (hash, check, words, place)."""
+    """Windows of an array of lines (hash, check, words, place): first and last place, fingerprint with its place, both sides."""
     n = F.size(lines)
 
     def shortest(part: Column) -> Column:
-        """How many items from the left are needed for enough words; more than there are if they do not suffice."""
+        """How many items from the left are needed for enough words; 0 if all do not suffice."""
         state = F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("w"))
         step = lambda a, x: F.struct((a["k"] + F.when(a["w"] < run_words, 1).otherwise(0)).alias("k"), (a["w"] + F.when(a["w"] < run_words, x["words"]).otherwise(0)).alias("w"))
         return F.aggregate(part, state, step, lambda a: F.when(a["w"] >= run_words, a["k"]).otherwise(0))
 
-    def whole(first: Column, size: Column) -> Column:
+    def extended(first: Column, size: Column) -> Column:
         run = F.slice(lines, first, size)
-        low = F.array_min(F.transform(run, lambda x: F.struct(x["hash"], x["place"])))
+        low = F.array_min(F.transform(run, lambda x, k: F.struct(x["hash"], k.alias("k"))))
+        side = lambda start, count: F.xxhash64(F.transform(F.slice(lines, start, count), lambda x: F.struct(x["hash"], x["check"])))
         return F.struct(
-            first.alias("first"),
-            size.alias("size"),
-            low["place"].alias("at"),
+            F.element_at(lines, first)["place"].alias("start"),
+            F.element_at(lines, first + size - 1)["place"].alias("stop"),
+            F.element_at(lines, first + low["k"])["place"].alias("at"),
             low["hash"].alias("fingerprint"),
-            F.xxhash64(F.transform(run, lambda x: x["hash"])).alias("run"),
-            F.hash(F.transform(run, lambda x: x["check"])).alias("check"),
+            side(first, low["k"] + 1).alias("left"),
+            side(first + low["k"], size - low["k"]).alias("right"),
         )
 
     def at(k: Column) -> Column:
@@ -60,8 +66,7 @@ def windows(lines: Column, run_words: int) -> Column:
         return F.array(F.struct(k.alias("first"), ahead.alias("size")), F.struct((k - back + 1).alias("first"), back.alias("size")))
 
     spots = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), at)))
-    found = F.transform(F.filter(spots, lambda s: s["size"] > 0), lambda s: whole(s["first"], s["size"]))
-    return F.when(n > 0, found)
+    return F.when(n > 0, F.transform(F.filter(spots, lambda s: s["size"] > 0), lambda s: extended(s["first"], s["size"])))
 
 
 def hashed_lines(text: Column) -> Column:
@@ -71,38 +76,64 @@ def hashed_lines(text: Column) -> Column:
     return F.filter(every, lambda x: x["words"] > 0)
 
 
-def repeated(docs: DataFrame, text: str, row_id: str, run_words: int) -> DataFrame:
-    """Document (__id, __key) and the sorted places of its lines in later runs; only documents that have some."""
-    keyed = docs.select(F.col(row_id).alias("__id"), F.xxhash64(text).alias("__key"), F.col(text).alias("__text")).filter(F.length("__text") > 0)
-    lined = keyed.select("__id", "__key", hashed_lines(F.col("__text")).alias("lines"))
-    # The long array column is made once: an explode does not duplicate the expression below it.
-    each = lined.select("__id", "__key", "lines", F.explode(windows(F.col("lines"), run_words)).alias("w"))
-    place = lambda k: F.element_at("lines", k)["place"]
-    last = F.col("w.first") + F.col("w.size") - 1
-    spots = checkpoint(each.select("__id", "__key", place(F.col("w.first")).cast("int").alias("start"), place(last).cast("int").alias("stop"), F.col("w.at").cast("int").alias("at"), "w.fingerprint", "w.run", "w.check"))
-    # Fingerprints found at more than one place: least and greatest place differ.
-    here = F.struct("__id", "__key", "at")
-    prints = spots.groupBy("fingerprint").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).filter(~F.col("lo").eqNullSafe(F.col("hi"))).select("fingerprint")
-    near = spots.join(prints, "fingerprint", "left_semi")
-    start = F.struct("__id", "__key", "start")
-    firsts = near.groupBy("run", "check").agg(F.min(start).alias("first"), F.max(start).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("run", "check", "first")
-    later = near.join(firsts, ["run", "check"]).filter(~start.eqNullSafe(F.col("first")))
-    return later.groupBy("__id", "__key").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", "stop")))).alias("__gone"))
+def matches(docs: DataFrame, text: str, row_id: str, run_words: int) -> DataFrame:
+    """Windows (id, key, start, stop) that are not the first of their kind, with the document and start of the first."""
+    keyed = docs.select(named(row_id).alias("id"), F.xxhash64(named(text)).alias("key"), named(text).alias("text")).filter(F.length("text") > 0)
+    lined = keyed.select("id", "key", hashed_lines(F.col("text")).alias("lines"))
+    # The array of lines is a column of its own, made once, before the windows are taken from it.
+    spots = checkpoint(lined.select("id", "key", windows(F.col("lines"), run_words).alias("spots")).filter(F.size("spots") > 0))
+    selected = F.array_distinct(F.transform("spots", lambda s: F.struct(s["fingerprint"].alias("fingerprint"), s["at"].alias("at"))))
+    positions = spots.select("id", "key", F.explode(selected).alias("s")).select("s.fingerprint", F.struct("id", "key", "s.at").alias("here"))
+    # Fingerprints of more than one position: the least and the greatest differ.
+    ends = positions.groupBy("fingerprint").agg(F.min("here").alias("lo"), F.max("here").alias("hi"), F.count("*").alias("n"))
+    several = checkpoint(ends.filter(~F.col("lo").eqNullSafe(F.col("hi"))).select("fingerprint", "n"))
+    each = spots.select("id", "key", F.explode("spots").alias("s")).select("id", "key", "s.*")
+    near = checkpoint(join_by_key(each, several, ["fingerprint"], "n"))
+    sides = ["fingerprint", "left", "right"]
+    start = F.struct("id", "key", "start")
+    firsts = near.groupBy(*sides).agg(F.min(start).alias("first"), F.max(start).alias("last"), F.count("*").alias("n"))
+    firsts = checkpoint(firsts.filter(~F.col("first").eqNullSafe(F.col("last"))).select(*sides, "first", "n"))
+    return join_by_key(near, firsts, sides, "n").filter(~start.eqNullSafe(F.col("first"))).select("id", "key", "start", "stop", "first")
+
+
+def repeated_runs(docs: DataFrame, text: str = "text", row_id: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
+    """Later runs: id, key (the text's hash), start and stop (lines, from 1 on), and id, key and start of the first match."""
+    found = matches(docs, text, row_id, run_words)
+    beside_it = found.select("id", "key", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"), F.col("first.start").alias("first_start"), "start", "stop")
+    diagonal = ["id", "key", "first_id", "first_key", (F.col("start") - F.col("first_start")).alias("diagonal")]
+    # A document's matches with one other are bounded by its lines.
+    every = beside_it.groupBy(*diagonal).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("m"))
+    kind = "array<struct<start:int,stop:int>>"
+    joined = F.aggregate(
+        "m",
+        F.array().cast(kind),
+        lambda a, x: F.when(
+            (F.size(a) > 0) & (x["start"] <= F.element_at(a, -1)["stop"] + 1),
+            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["stop"], x["stop"]).alias("stop")))),
+        ).otherwise(F.concat(a, F.array(x))),
+    )
+    runs = every.select("id", "key", "first_id", "first_key", "diagonal", F.explode(joined).alias("r"))
+    return runs.select("id", "key", "r.start", "r.stop", "first_id", "first_key", (F.col("r.start") - F.col("diagonal")).alias("first_start"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
     """``docs`` with later repeated runs of lines deleted from the text, and n_lines and n_removed of the old text."""
-    gone = repeated(docs, text, row_id, run_words).hint("shuffle_hash")
-    keyed = docs.drop("n_lines", "n_removed").withColumns({"__id": F.col(row_id), "__key": F.xxhash64(text)})
-    same = keyed["__id"].eqNullSafe(gone["__id"]) & (keyed["__key"] == gone["__key"])
-    out = keyed.join(gone, same, "left").drop(gone["__id"], gone["__key"])
-    lines = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col("__gone"))
+    new = ("n_lines", "n_removed")
+    columns = beside(docs.columns, new)
+    own_id, own_key, own_gone = unused(docs, "__id", "__key", "__gone")
+    runs = repeated_runs(docs, text, row_id, run_words)
+    gone = runs.groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", "stop")))).alias("gone"))
+    gone = gone.select(F.col("id").alias(own_id), F.col("key").alias(own_key), F.col("gone").alias(own_gone)).hint("shuffle_hash")
+    keyed = docs.select(*map(named, columns)).withColumns({own_id: named(row_id), own_key: F.xxhash64(named(text))})
+    same = keyed[own_id].eqNullSafe(gone[own_id]) & (keyed[own_key] == gone[own_key])
+    out = keyed.join(gone, same, "left").drop(gone[own_id], gone[own_key])
+    lines, lost = F.split(named(text), "\n", -1), F.col(own_gone)
+    stay = F.array_except(F.sequence(F.lit(1), F.size(lines)), lost)
     kept = F.array_join(F.transform(stay, lambda k: F.element_at(lines, k)), "\n")
     return out.select(
-        *[F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")],
-        F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
+        *[F.when(lost.isNull(), named(text)).otherwise(kept).alias(text) if c == text else named(c) for c in columns],
+        F.when(named(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(lost.isNull(), F.lit(0)).otherwise(F.size(lost)).cast("long").alias("n_removed"),
     )
 
 
