@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_ngram_join": ngramjoin.ORACLE,
+    "op7_span_dedup": spandedup.ORACLE,
     "op8_line_dedup": linededup.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }

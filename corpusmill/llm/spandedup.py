@@ -1,16 +1,19 @@
 """Substring dedup by sliding sentence spans.
 
-A span is the shortest run of consecutive sentences with two of them and 8 words, or with 50 words. Every span that
-begins or ends at a sentence is hashed (128 bits). Spans are compared over all documents; sentences in a span that is not
-the first of its kind (by document id, then place) are removed.
+Every run of ``span`` consecutive sentences is hashed (128 bits) and the hashes are joined over all documents; sentences
+in a span that is not the first of its kind (by document id, then place) are removed.
+
+A sentence ends after a word with a full stop, exclamation or question mark, or at a line end; one that goes on counts as
+several, cut after each 16th word. So a passage of 50 words that begins with a sentence has a span whatever its sentences
+are like, while ``3.14`` is no two sentences. White space is space, tab and the characters up to carriage return.
 
 A task first compares the spans of its own batch and sends on only the earliest of each kind, so a passage that a third
 of all rows share reaches the shuffle once for each batch. What is already known to be later goes along under its
 document's own key.
 
-Null texts stay null; texts without sentences stay as they are. Rows with the same id and text are one document; with
-the same id and another text, the text's hash decides which is earlier; null ids come first. Texts are read whole.
-Columns of ``docs`` stay; ones named like a result give way to it.
+Null texts stay null; texts of fewer sentences than a span stay as they are. Rows with the same id and text are one
+document; with the same id and another text, the text's hash decides which is earlier; null ids come first. Ids may be of
+any type that has an order. Texts are read whole. Columns of ``docs`` stay; ones named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -20,124 +23,145 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import append_columns, settled, table
+from corpusmill.llm.common import append_columns, beside, checkpoint, join_by_key, named, settled, table, unused
 
-SENTENCES = 2
-SPAN_WORDS = 8
-LONG_WORDS = 50
-#: Pieces of a text that together are the text: up to a sentence end or line end, with the white space after it.
-PIECE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
-NONE = -(2**63)
+SPAN = 3
+SENTENCE_WORDS = 16
+#: A sentence with the white space after it: words without an end mark on one line, and a last one of any kind.
+SENTENCE = rf"(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?][\x20\x09\x0B-\x0D]+){{0,{SENTENCE_WORDS - 1}}}[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+CUT = re.compile(SENTENCE)
+BLANK = " \t\n\x0b\x0c\r"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def pieces(text: str | None) -> tuple[list[str], list[int]]:
-    """Pieces of a text, and the numbers of those that are sentences."""
-    cut = PIECE.findall(text or "")
-    return cut, [k for k, p in enumerate(cut) if p.strip()]
-
-
-def spans(sentences: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentences, ends (exclusive) and 128-bit hashes of a text's spans."""
-    n = len(sentences)
-    stripped = [s.strip() for s in sentences]
-    size = np.fromiter((len(s.split()) for s in stripped), dtype=np.int64, count=n)
-    upto = np.concatenate([[0], np.cumsum(size)])
-    at = np.arange(n)
-    enough = np.maximum(np.searchsorted(upto, upto[:-1] + SPAN_WORDS), at + SENTENCES)
-    end = np.minimum(enough, np.searchsorted(upto, upto[:-1] + LONG_WORDS))
-    before = np.minimum(np.searchsorted(upto, upto[1:] - SPAN_WORDS, side="right") - 1, at + 1 - SENTENCES)
-    begin = np.maximum(before, np.searchsorted(upto, upto[1:] - LONG_WORDS, side="right") - 1)
-    both = np.unique(np.concatenate([(at * (n + 1) + end)[end <= n], (begin * (n + 1) + at + 1)[begin >= 0]]))
-    first, stop = both // (n + 1), both % (n + 1)
-    digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s) for s in stripped]), dtype="<u8").reshape(n, 2)
+
+
+def sentences(text: str | None) -> tuple[str, list[str]]:
+    """What stands before the first sentence, and the sentences; together they are the text."""
+    text = text or ""
+    cut = CUT.findall(text)
+    return text[: len(text) - sum(map(len, cut))], cut
+
+
+def spans(cut: list[str], span: int) -> np.ndarray:
+    """128-bit hashes of all runs of so many sentences, as two columns."""
+    n = len(cut) - span + 1
+    if n < 1:
+        return np.zeros((0, 2), dtype=np.int64)
+    digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.rstrip(BLANK).encode("utf-8", "replace")) for s in cut]), dtype="<u8").reshape(-1, 2)
+    out = np.full((n, 2), span, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BASE)]), dtype=np.uint64)
-        inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, INVERSE)]), dtype=np.uint64)
-        total = np.concatenate([np.zeros((1, 2), dtype=np.uint64), np.cumsum(digest * power[:n, None], axis=0, dtype=np.uint64)])
-        whole = (total[stop] - total[first]) * inverse[first][:, None]
-    return first, stop, whole.view(np.int64)
+        for k in range(span):
+            out = (out ^ (out >> np.uint64(29))) * BASE + digest[k : k + n]
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
 
+def earlier_first(ids: list, keys: list[int]) -> np.ndarray:
+    """Each row's rank by id and key, nulls first; equal rows have equal ranks."""
+    order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k], keys[k]) if ids[k] is not None else (False, 0, keys[k]))
+    rank, last = np.zeros(len(ids), dtype=np.int64), None
+    at = -1
+    for k in order:
+        own = (ids[k], keys[k])
+        at, last = at + (own != last), own
+        rank[k] = at
+    return rank
 
-def task_spans(batches):
+
+def task_spans(span: int):
     """Spans of each batch: the earliest of each kind by its hash, later ones under their document's key."""
-    for batch in batches:
-        ids = batch.column(0).fill_null(NONE).to_numpy(zero_copy_only=False)
-        keys = batch.column(1).to_numpy(zero_copy_only=False)
-        owner, first, stop, hashes = [], [], [], []
-        for k, t in enumerate(batch.column(2)):
-            cut, at = pieces(t.as_py())
-            if at:
-                a, b, h = spans([cut[i] for i in at])
-                owner.append(np.full(len(a), k))
-                first.append(a)
-                stop.append(b)
-                hashes.append(h)
-        if not owner:
-            continue
-        owner, first, stop, hashes = map(np.concatenate, (owner, first, stop, hashes))
-        doc, key, place = ids[owner], keys[owner], (first << 32) | stop
-        order = np.lexsort((place, key, doc, hashes[:, 1], hashes[:, 0]))
-        h0, h1, doc, key, place = hashes[order, 0], hashes[order, 1], doc[order], key[order], place[order]
-        lead = np.concatenate([[True], (h0[1:] != h0[:-1]) | (h1[1:] != h1[:-1])]) if len(h0) else np.zeros(0, bool)
-        head = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))
-        same = (doc == doc[head]) & (key == key[head]) & (place == place[head])
-        keep = lead | ~same  # the same place of a repeated row is not later
-        late = ~same
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x[keep]) for x in (np.where(late, key, h0), np.where(late, NONE, h1), doc, key, place, late)],
-            names=["h0", "h1", "id", "key", "place", "late"],
-        )
-
-
-def marked(docs: DataFrame, text: str, row_id: str) -> DataFrame:
-    """Document (__id, __key) and the places (first sentence, end) of its later spans."""
-    source = docs.select(F.col(row_id).cast("long"), F.xxhash64(text), F.col(text)).filter(F.length(text) > 0)
-    found = source.mapInArrow(settled(task_spans), "h0 long, h1 long, id long, key long, place long, late boolean")
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(1).to_numpy(zero_copy_only=False)
+            rank = earlier_first(batch.column(0).to_pylist(), keys.tolist())
+            owner, hashes = [], []
+            for k, t in enumerate(batch.column(2)):
+                own = spans(sentences(t.as_py())[1], span)
+                if len(own):
+                    owner.append(np.full(len(own), k))
+                    hashes.append(own)
+            if not owner:
+                continue
+            place = np.concatenate([np.arange(len(h)) for h in hashes])
+            owner, hashes = np.concatenate(owner), np.concatenate(hashes)
+            order = np.lexsort((place, rank[owner], hashes[:, 1], hashes[:, 0]))
+            h0, h1, owner, place = hashes[order, 0], hashes[order, 1], owner[order], place[order]
+            lead = np.concatenate([[True], (h0[1:] != h0[:-1]) | (h1[1:] != h1[:-1])])
+            head = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))
+            late = ~((rank[owner] == rank[owner][head]) & (place == place[head]))
+            keep = lead | late  # the same place of a repeated row is not later
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.where(late, keys[owner], h0)[keep]), pa.array(np.where(late, 0, h1)[keep]), batch.column(0).take(pa.array(owner[keep])), pa.array(keys[owner][keep]), pa.array(place[keep].astype(np.int32)), pa.array(late[keep])],
+                names=["h0", "h1", "id", "key", "place", "late"],
+            )
+
+    return run
+
+
+def marked(docs: DataFrame, text: str, row_id: str, span: int) -> DataFrame:
+    """Document (id, key) and the first sentences of its later spans, each once."""
+    source = docs.select(named(row_id).alias("id"), F.xxhash64(named(text)).alias("key"), named(text).alias("text")).filter(F.length("text") > 0)
+    kind = T.StructType([T.StructField("h0", T.LongType()), T.StructField("h1", T.LongType()), source.schema["id"], T.StructField("key", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("late", T.BooleanType())])
+    found = checkpoint(source.select("id", "key", "text").mapInArrow(settled(task_spans(span)), kind))
     here = F.struct("id", "key", "place")
-    first = F.min(here).over(Window.partitionBy("h0", "h1"))
-    later = found.withColumn("first", first).filter(F.col("late") | (here != F.col("first")))
-    return later.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list("place").alias("__later"))
+    fresh = found.filter("NOT late").withColumn("here", here)
+    kinds = fresh.groupBy("h0", "h1").agg(F.min("here").alias("first"), F.max("here").alias("last"), F.count("*").alias("n"))
+    often = checkpoint(kinds.filter(~F.col("first").eqNullSafe(F.col("last"))).select("h0", "h1", "first", "n"))
+    later = join_by_key(fresh, often, ["h0", "h1"], "n").filter(~F.col("here").eqNullSafe(F.col("first")))
+    every = later.select("id", "key", "place").unionByName(found.filter("late").select("id", "key", "place"))
+    return every.groupBy("id", "key").agg(F.collect_set("place").alias("later"))
 
 
-def dedup_spans(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def dedup_spans(docs: DataFrame, text: str = "text", row_id: str = "doc_id", span: int = SPAN) -> DataFrame:
     """``docs`` with later spans removed from the text, n_sentences of the old text and n_removed."""
-    drop = ("n_sentences", "n_removed")
-    later = marked(docs, text, row_id).hint("shuffle_hash")
-    keyed = docs.drop(*drop).withColumns({"__id": F.coalesce(F.col(row_id).cast("long"), F.lit(NONE)), "__key": F.xxhash64(text)})
-    out = keyed.join(later, ["__id", "__key"], "left").drop("__id", "__key")
-    keep = [c for c in docs.columns if c not in drop and c != text]
-    fields = [T.StructField(text, T.StringType()), *(T.StructField(c, T.LongType(), False) for c in drop)]
+    new = ("n_sentences", "n_removed")
+    columns = beside(docs.columns, new)
+    own_id, own_key, own_later = unused(docs, "__id", "__key", "__later")
+    later = marked(docs, text, row_id, span).select(F.col("id").alias(own_id), F.col("key").alias(own_key), F.col("later").alias(own_later)).hint("shuffle_hash")
+    keyed = docs.select(*map(named, columns)).withColumns({own_id: named(row_id), own_key: F.xxhash64(named(text))})
+    same = keyed[own_id].eqNullSafe(later[own_id]) & (keyed[own_key] == later[own_key])
+    out = keyed.join(later, same, "left").drop(later[own_id], later[own_key])
+    fields = [T.StructField(text, T.StringType()), *(T.StructField(c, T.LongType(), False) for c in new)]
 
     def rows():
         def each(batch: pa.RecordBatch):
             column = lambda c: batch.column(batch.schema.get_field_index(c))
             texts, total, removed = [], [], []
-            for t, places in zip(column(text).to_pylist(), column("__later").to_pylist(), strict=True):
-                cut, at = pieces(t)
-                gone = np.zeros(len(at) + 1, dtype=np.int64)
-                for p in places or ():
-                    gone[p >> 32] += 1
-                    gone[p & 0xFFFFFFFF] -= 1
-                off = np.flatnonzero(np.cumsum(gone[:-1]) > 0).tolist()
-                for k in off:
-                    cut[at[k]] = ""
-                texts.append("".join(cut) if off else t)
-                total.append(len(at))
-                removed.append(len(off))
+            for t, places in zip(column(text).to_pylist(), column(own_later).to_pylist(), strict=True):
+                before, cut = sentences(t)
+                gone = {k + j for k in places or () for j in range(span)}
+                texts.append("".join([before, *[s for k, s in enumerate(cut) if k not in gone]]) if gone else t)
+                total.append(len(cut))
+                removed.append(len(gone))
             return [pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
 
         return each
 
-    made = append_columns(out, fields, rows, keep=keep, inputs=[text, "__later"])
-    return made.select(*[c for c in docs.columns if c not in drop], *drop)
+    made = append_columns(out, fields, rows, keep=[c for c in columns if c != text], inputs=[text, own_later])
+    return made.select(*map(named, columns), *new)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_spans(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+ORACLE = rf"""
+WITH cut AS (SELECT doc_id, text, regexp_extract_all(text, '{SENTENCE}') AS s FROM documents WHERE text IS NOT NULL),
+flat AS (SELECT doc_id, generate_subscripts(s, 1) AS k, unnest(s) AS piece FROM cut),
+runs AS (
+  SELECT doc_id, k, {" || chr(0) || ".join(f"rtrim(s[k + {j}], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))" for j in range(SPAN))} AS run
+  FROM (SELECT doc_id, s, unnest(range(1, len(s) - {SPAN - 2})) AS k FROM cut WHERE len(s) >= {SPAN})),
+later AS (SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY md5(run) ORDER BY doc_id, k) AS nth FROM runs) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + {SPAN})) AS k FROM later),
+kept AS (
+  SELECT f.doc_id, string_agg(f.piece, '' ORDER BY f.k) FILTER (g.k IS NULL) AS text, count(g.k) AS n
+  FROM flat f LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.k = f.k GROUP BY f.doc_id)
+SELECT d.doc_id, CAST(coalesce(len(c.s), 0) AS BIGINT) AS n_sentences, CAST(coalesce(t.n, 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN t.n > 0 THEN regexp_extract(d.text, '^[\x20\x09-\x0D]*') || coalesce(t.text, '') ELSE coalesce(d.text, '') END) AS text_sha256
+FROM documents d LEFT JOIN cut c USING (doc_id) LEFT JOIN kept t USING (doc_id)
+"""
