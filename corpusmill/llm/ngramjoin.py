@@ -10,15 +10,18 @@ Documents are sets of five-word shingles; two are linked if the Jaccard similari
 4. Pairs that are left are verified on the shingle sets themselves.
 5. Links are counted, and connected components give the classes of near-duplicates.
 
-Pairs are never rows. Large buckets are dealt in blocks; a task compares two blocks and returns, for each class in them,
-how many links it has and a spanning forest of the links, so rows grow with the documents and not with the square of a
-group. A pair that shares several bands counts only in the first of them.
+Pairs are never rows. Of buckets with the same members only that of the first band is used. Large buckets are dealt in
+blocks; a task compares two blocks and returns, for each class in them, how many links it has and a spanning forest of the
+links. A member is dealt once for each block of its bucket, so a group of m different texts makes m * m / BLOCK rows in its
+buckets: the comparisons themselves, which counting every link needs, grow with the square, in blocks of BLOCK * BLOCK.
+A pair that shares several bands counts only in the first of them.
 
 Results, one row per document: ``class_id``, the least id of all documents connected with it by links or copies;
 ``n_links``, the number of other documents that it is linked with (its copies included); ``n_linked_texts``, that of
 other texts; ``n_copies``, that of documents with exactly its text. Texts of one to four words have one shingle. Null
 texts and texts without words are linked with none, but identical texts without words are copies. Null ids are passed
-over for class_id, which is null if all are. Repeated rows count as copies. All texts are read whole.
+over for class_id, which is null if all are. Ids may be of any type that has an order. Repeated rows count as copies. All
+texts are read whole.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusmill.llm.common import checkpoint, settled, table, words
+from corpusmill.llm.common import checkpoint, named, settled, table, unused, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -40,7 +44,9 @@ HASHES = BANDS * ROWS
 STEP = 40
 TOLERANCE = 1e-6
 #: Members of a block; a task holds two blocks.
-BLOCK = 512
+BLOCK = 1024
+#: Pairs that are verified at a time.
+PAIRS = 250_000
 #: Shingles of a pair of blocks that are counted at a time.
 TOGETHER = 500_000
 #: Up to so many digests (16 bytes each) are broadcast to pick the texts to verify; beyond, they are joined by shuffle.
@@ -186,10 +192,11 @@ def classes_of(docs: DataFrame, text: str, row_id: str) -> DataFrame:
                 found = shingles(batch.column(2)[k].as_py().encode("utf-8", "replace"))
                 size.append(len(found))
                 sig.append(signature(found).astype("<u4").tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(count, pa.int64()), pa.array(least, pa.int64()), pa.array(size, pa.int32()), pa.array(sig, pa.binary())], names=["k", "n", "least", "size", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(count, pa.int64()), pa.array(least, batch.schema.field(0).type), pa.array(size, pa.int32()), pa.array(sig, pa.binary())], names=["k", "n", "least", "size", "sig"])
 
-    source = docs.select(F.col(row_id).cast("long"), F.unhex(F.md5(text)), text).filter(F.col(text).isNotNull())
-    each = source.mapInArrow(settled(run), "k binary, n long, least long, size int, sig binary")
+    source = docs.select(named(row_id).alias("least"), F.unhex(F.md5(named(text))).alias("k"), named(text).alias("text")).filter("text IS NOT NULL")
+    kind = T.StructType([T.StructField("k", T.BinaryType()), T.StructField("n", T.LongType()), source.schema["least"], T.StructField("size", T.IntegerType()), T.StructField("sig", T.BinaryType())])
+    each = source.mapInArrow(settled(run), kind)
     return each.groupBy("k").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.first("size").alias("size"), F.first("sig").alias("sig"))
 
 
@@ -197,7 +204,10 @@ def candidates(classes: DataFrame) -> DataFrame:
     """Members of buckets with two classes or more, dealt to pairs of blocks: bucket, lo, hi, block, k, n, size, sig."""
     key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.shiftleft(F.xxhash64(F.substring("sig", b * (4 * ROWS) + 1, F.lit(4 * ROWS)), b), 6).bitwiseOR(b.cast("long")))
     each = classes.filter(F.col("sig").isNotNull()).select("k", F.explode(key).alias("bucket"))
-    full = each.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    full = each.groupBy("bucket").agg(F.count("*").alias("members"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("xor")).filter("members > 1")
+    # A pair's first shared band is never left out here: an equal bucket before it would hold the pair too.
+    alike = F.struct(F.col("bucket").bitwiseAND(63).alias("band"), "bucket")
+    full = full.groupBy("members", "sum", "xor").agg(F.min(alike).alias("b")).select("b.bucket", "members")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.hash("k"), F.col("blocks"))
     dealt = each.join(full, "bucket").withColumn("blocks", blocks).withColumn("block", own)
@@ -262,6 +272,19 @@ def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
     return np.rint(total[np.searchsorted(rows, i), np.searchsorted(columns, j)]).astype(np.int64)
 
 
+def gathered(parts, most: int):
+    """Pairs of several parts put together, about so many at a time."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= most:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def forest(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of m nodes the least node of its component under the links (i, j)."""
     label = np.arange(m)
@@ -289,17 +312,20 @@ def verified(left: DataFrame, threshold: float) -> DataFrame:
             sig, size, block = fixed(part.column("sig"), HASHES), part.column("size").to_numpy(), part.column("block").to_numpy()
             n, keys = part.column("n").to_numpy(), part.column("k").to_pylist()
             sets = [np.frombuffer(s, dtype="<u8") for s in part.column("shingles").to_pylist()]
-            found = list(pairs_left(sig, size, block, bucket, lo, hi, fewest, threshold))
-            if not found:
+            texts, documents, links = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64), []
+            for i, j in gathered(pairs_left(sig, size, block, bucket, lo, hi, fewest, threshold), PAIRS):
+                both = shared_counts(sets, i, j)
+                real = both >= threshold * (size[i].astype(np.int64) + size[j] - both) - 1e-9
+                i, j = i[real], j[real]
+                texts += np.bincount(i, minlength=m) + np.bincount(j, minlength=m)
+                np.add.at(documents, i, n[j])
+                np.add.at(documents, j, n[i])
+                root = forest(m, i, j)  # of this part's links only a spanning forest is kept
+                own = np.flatnonzero(root != np.arange(m))
+                links.append((own, root[own]))
+            if not texts.any():
                 continue
-            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-            both = shared_counts(sets, i, j)
-            real = both >= threshold * (size[i].astype(np.int64) + size[j] - both) - 1e-9
-            i, j = i[real], j[real]
-            texts = np.bincount(i, minlength=m) + np.bincount(j, minlength=m)
-            documents = np.zeros(m, dtype=np.int64)
-            np.add.at(documents, i, n[j])
-            np.add.at(documents, j, n[i])
+            i, j = (np.concatenate(x) for x in zip(*links, strict=True))
             root = forest(m, i, j)
             hit = np.flatnonzero(texts).tolist()
             if hit:
@@ -312,7 +338,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """Digest and shingle set of the wanted texts, once each."""
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    source = docs.filter(F.col(text).isNotNull()).select(F.unhex(F.md5(text)).alias("k"), F.col(text).alias("text")).join(wanted, "k", "left_semi")
+    source = docs.filter(named(text).isNotNull()).select(F.unhex(F.md5(named(text))).alias("k"), named(text).alias("text")).join(wanted, "k", "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -339,7 +365,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def known_classes(docs: DataFrame, text: str, row_id: str, threshold: float) -> DataFrame:
-    """For each distinct text (digest __k): class_id, the digest __group of its class and the counts of its documents' rows."""
+    """For each distinct text (digest k): its class's digest, least id and that id's text, and the counts of its rows."""
     classes = checkpoint(classes_of(docs, text, row_id))
     left = checkpoint(possible(candidates(classes), threshold))
     sets = shingle_sets(docs, left.select("k").distinct(), text)
@@ -348,41 +374,45 @@ def known_classes(docs: DataFrame, text: str, row_id: str, threshold: float) ->
     member = components(links.select(F.col("k").alias("u"), F.col("root").alias("v")))
     member = member.unionByName(member.select(F.col("m").alias("v"), "m").distinct())
     grouped = member.join(classes.select(F.col("k").alias("v"), "least"), "v")
-    smallest = grouped.groupBy("m").agg(F.min("least").alias("group_least"))
-    named = grouped.join(smallest, "m").select(F.col("v").alias("k"), "group_least", "m")
-    return classes.select("k", "n", "least", "size").join(counts, "k", "left").join(named, "k", "left").select(
-        F.col("k").alias("__k"),
-        F.coalesce("group_least", "least").alias("class_id"),
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("v").alias("k")))
+    named_by = grouped.join(grouped.groupBy("m").agg(first.alias("first")), "m").select(F.col("v").alias("k"), "first", "m")
+    return classes.select("k", "n", "least", "size").join(counts, "k", "left").join(named_by, "k", "left").select(
+        "k",
+        F.coalesce("first.id", "least").alias("class_id"),
+        F.coalesce("first.k", "k").alias("class_text"),
+        F.coalesce("m", "k").alias("class"),
         (F.when(F.col("size") > 0, F.col("n") - 1).otherwise(0) + F.coalesce("documents", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"),
         F.col("n").alias("n_copies"),
-        F.col("size").alias("__size"),
-        F.coalesce("m", "k").alias("__group"),
+        "size",
     )
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: its id, class_id, n_links, n_linked_texts and n_copies."""
-    known = known_classes(docs, text, row_id, threshold)
-    each = docs.select(row_id, F.unhex(F.md5(text)).alias("__k"))
+    known = known_classes(docs, text, row_id, threshold).drop("class_text", "class", "size")
+    each = docs.select(named(row_id).alias("__row"), F.unhex(F.md5(named(text))).alias("k"))
     zero = lambda c, v: F.coalesce(F.col(c), F.lit(v)).cast("long").alias(c)
-    out = each.join(known, "__k", "left")
-    return out.select(row_id, F.coalesce("class_id", F.when(F.col("__k").isNull(), F.col(row_id))).alias("class_id"), zero("n_links", 0), zero("n_linked_texts", 0), zero("n_copies", 1))
+    out = each.join(known, "k", "left")
+    return out.select(F.col("__row").alias(row_id), F.coalesce("class_id", F.when(F.col("k").isNull(), F.col("__row"))).alias("class_id"), zero("n_links", 0), zero("n_linked_texts", 0), zero("n_copies", 1))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with all columns, of each class only the document with the least id (with none, if no id is set).
+    """The rows of ``docs`` with all columns, of each class only one: the least id's document.
 
-    Null texts and texts without words all stay.
+    Of texts that share the least id the one with the least digest stays; if no id of a class is set, that one of its texts
+    stays too. Of rows with the same id and text any one stays. Null texts and texts without words all stay.
     """
-    known = known_classes(docs, text, row_id, threshold)
-    shared = checkpoint(known.filter("__size > 0 AND (n_copies > 1 OR n_linked_texts > 0)").select("__k", "__group", F.col("class_id").alias("__class")))
+    own_k, own_class, own_id, own_text = unused(docs, "__k", "__class", "__class_id", "__class_text")
+    known = known_classes(docs, text, row_id, threshold).filter("size > 0 AND (n_copies > 1 OR n_linked_texts > 0)")
+    shared = checkpoint(known.select(F.col("k").alias(own_k), F.col("class").alias(own_class), F.col("class_id").alias(own_id), F.col("class_text").alias(own_text)))
     side = F.broadcast(shared) if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else shared.hint("shuffle_hash")
-    keyed = docs.withColumn("__k", F.unhex(F.md5(text))).join(side, "__k", "left")
-    kept = keyed.filter(F.col("__group").isNull() | F.col(row_id).eqNullSafe(F.col("__class")))
-    if docs.groupBy(row_id).count().filter("count > 1").limit(1).count():  # rows that share an id, or have none: one of a class stays too
-        kept = kept.filter("__group IS NULL").unionByName(kept.filter("__group IS NOT NULL").dropDuplicates(["__group"]))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumn(own_k, F.unhex(F.md5(named(text)))).join(side, own_k, "left")
+    first = named(row_id).eqNullSafe(F.col(own_id)) & (F.col(own_k) == F.col(own_text))
+    kept = keyed.filter(F.col(own_class).isNull() | first)
+    if docs.groupBy(named(row_id)).count().filter("count > 1").limit(1).count():  # rows that share an id, or have none
+        kept = kept.filter(F.col(own_class).isNull()).unionByName(kept.filter(F.col(own_class).isNotNull()).dropDuplicates([own_class]))
+    return kept.select(*map(named, docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
