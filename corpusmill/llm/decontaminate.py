@@ -8,8 +8,10 @@ occurrences are located by walking to the nearest sampled position, and the span
 
 A test phrase is a window of ``window`` consecutive words of a benchmark item, or the whole item if it is shorter.
 
-The benchmark is read in blocks of at most ``block_words`` words; a block is what is broadcast, and blocks beyond the
-first are further passes over the rows, which carry the spans found so far, without a shuffle.
+The benchmark is read in blocks of about ``block_bytes`` bytes of text, whatever its size; a block is what is broadcast. With
+its words and windows in arrays it takes some 20 bytes of a worker's memory for each byte of text. Blocks beyond the first
+are further passes over the rows, which carry the spans found so far, without a shuffle; rows are written between passes, so
+that a worker holds one block at a time. An item longer than a block is cut into overlapping parts, so no window is lost.
 
 Null or empty texts have no words and no hits; an item without words matches nothing; items that share a window are
 all reported; repeated rows are each judged alike. Input columns beside the kept ones are dropped, and a kept one that
@@ -27,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import WORD_TABLE, append_columns, as_bytes, table, words
+from corpusmill.llm.common import WORD_TABLE, append_columns, as_bytes, beside, checkpoint, named, table, unused, words
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_BYTES = 2_000_000
 SAMPLE = 8
 WORD = re.compile(rb"[^ ]+")
 
@@ -134,22 +136,31 @@ class FMIndex:
 
 
 class Phrases:
-    """Windows of one block of benchmark items, as rows of word ids."""
+    """Windows of one block of benchmark items: rows of word ids, right-aligned, and the items of each, in flat arrays."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.ids: dict[bytes, int] = {}
-        seen: dict[tuple[int, ...], set[str]] = {}
+        self.names = list(dict.fromkeys(item for item, _ in items))
+        number = {name: k for k, name in enumerate(self.names)}
+        rows, owner = [np.zeros((0, window), dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
         for item, text in items:
-            row = [self.ids.setdefault(w, len(self.ids) + 1) for w in text]
+            row = np.fromiter((self.ids.setdefault(w, len(self.ids) + 1) for w in text), dtype=np.int32, count=len(text))
             size = min(window, len(row))
-            for k in range(len(row) - size + 1) if row else ():
-                seen.setdefault(tuple(row[k : k + size]), set()).add(item)
-        self.items = [sorted(s) for s in seen.values()]
-        self.lengths = np.array([len(p) for p in seen], dtype=np.int64)
-        self.matrix = np.zeros((len(seen), window), dtype=np.int64)
-        for k, p in enumerate(seen):
-            self.matrix[k, window - len(p) :] = p
-        self.shortest = int(self.lengths.min()) if len(seen) else 0
+            if size:
+                part = np.zeros((len(row) - size + 1, window), dtype=np.int32)
+                part[:, window - size :] = np.lib.stride_tricks.sliding_window_view(row, size)
+                rows.append(part)
+                owner.append(np.full(len(part), number[item]))
+        every = np.concatenate(rows)
+        self.matrix, which = np.unique(every, axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([which.reshape(-1).astype(np.int64), np.concatenate(owner)], axis=1), axis=0)
+        self.begin = np.searchsorted(pairs[:, 0], np.arange(len(self.matrix) + 1))
+        self.item = pairs[:, 1].astype(np.int32)
+        self.lengths = (self.matrix > 0).sum(axis=1)
+        self.shortest = int(self.lengths.min()) if len(self.matrix) else 0
+
+    def items_of(self, phrase: int) -> list[str]:
+        return [self.names[k] for k in self.item[self.begin[phrase] : self.begin[phrase + 1]].tolist()]
 
 
 def find(phrases: Phrases, texts: list[bytes | None]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
@@ -184,7 +195,7 @@ def find(phrases: Phrases, texts: list[bytes | None]) -> tuple[list[int], list[l
     for phrase, at, p in zip(which.tolist(), (place - begin[piece]).tolist(), piece.tolist(), strict=True):
         first = int(offset[p]) + at
         spans[owner[p]].append((first, first + int(phrases.lengths[phrase])))
-        items[owner[p]].update(phrases.items[phrase])
+        items[owner[p]].update(phrases.items_of(phrase))
     return counts, [merged(s) for s in spans], items
 
 
@@ -199,17 +210,21 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The benchmark's items, so many words at a time."""
-    rows = benchmark.filter(F.col(item_id).isNotNull() & F.col(text).isNotNull())
+def blocks(benchmark: DataFrame, item_id: str, text: str, most: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The benchmark's items, so many bytes at a time."""
     block, size = [], 0
-    for item, content in rows.select(F.col(item_id).cast("string"), F.col(text)).toLocalIterator():
+    source = benchmark.select(named(item_id).cast("string").alias("item"), named(text).alias("text"))
+    for item, content in source.filter("item IS NOT NULL AND text IS NOT NULL").toLocalIterator():
         found = words(content.encode("utf-8", "replace"))
-        if block and size + len(found) > most:
-            yield block
-            block, size = [], 0
-        block.append((item, found))
-        size += len(found)
+        part = max(window, most // 8)
+        for k in range(0, max(1, len(found) - window + 1), part):
+            own = found[k : k + part + window - 1]
+            n = sum(map(len, own)) + len(own)
+            if block and size + n > most:
+                yield block
+                block, size = [], 0
+            block.append((item, own))
+            size += n
     yield block
 
 
@@ -218,27 +233,27 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType(), False), T
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: list[str] | None = None,
+    window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` with n_words, hit_spans (word positions, merged) and hit_items (ids as text, sorted)."""
-    keep = list(docs.columns if keep is None else keep)
-    carried = ["hit_spans", "hit_items"]
-    out, first = docs.drop(*carried), True
-    keep = [c for c in keep if c not in ("n_words", *carried)]
-    for block in blocks(benchmark, item_id, item_text, block_words):
+    new = ("n_words", "hit_spans", "hit_items")
+    keep = beside(docs.columns if keep is None else keep, new)
+    was_spans, was_items = unused(docs, "__was_spans", "__was_items")
+    fields = [
+        T.StructField("n_words", T.LongType(), False),
+        T.StructField("hit_spans", SPANS, False),
+        T.StructField("hit_items", T.ArrayType(T.StringType(), False), False),
+    ]
+    out, first = docs, True
+    for block in blocks(benchmark, item_id, item_text, block_bytes, window):
         shared = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
-        fields = [
-            T.StructField("n_words", T.LongType(), False),
-            T.StructField("hit_spans", SPANS, False),
-            T.StructField("hit_items", T.ArrayType(T.StringType(), False), False),
-        ]
 
         def rows(shared=shared, first=first):
             def each(batch: pa.RecordBatch):
                 column = lambda c: batch.column(batch.schema.get_field_index(c))
                 counts, spans, items = find(shared.value, as_bytes(column(text)))
                 if not first:
-                    for s, i, had, ids in zip(spans, items, column("was_spans").to_pylist(), column("was_items").to_pylist(), strict=True):
+                    for s, i, had, ids in zip(spans, items, column(was_spans).to_pylist(), column(was_items).to_pylist(), strict=True):
                         s[:] = merged([*s, *((x["start"], x["end"]) for x in had)])
                         i.update(ids)
                 made = [[{"start": a, "end": b} for a, b in s] for s in spans]
@@ -250,12 +265,11 @@ def decontaminate(
 
             return each
 
-        had = [] if first else ["was_spans", "was_items"]
-        if not first:
-            out = out.withColumnsRenamed({"hit_spans": "was_spans", "hit_items": "was_items"})
-        out = append_columns(out, fields, rows, keep=list(dict.fromkeys([*keep, text])), inputs=had)
+        if not first:  # also ends the earlier pass, whose workers let its block go
+            out = checkpoint(out).withColumnsRenamed({"hit_spans": was_spans, "hit_items": was_items})
+        out = append_columns(out, fields, rows, keep=list(dict.fromkeys([*keep, text])), inputs=[text] if first else [text, was_spans, was_items])
         first = False
-    return out.select(*keep, "n_words", *carried)
+    return out.select(*map(named, keep), *new)
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -270,7 +284,7 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def remove_hits(found: DataFrame, text: str = "text", spans: str = "hit_spans") -> DataFrame:
     """Columns of ``found``, hit words cut out of the text; texts without hits stay as they are, rows all stay."""
-    kind = found.schema[text]
+    kind = T.StructField(text, T.StringType())
 
     def rows():
         def each(batch: pa.RecordBatch):
@@ -282,7 +296,7 @@ def remove_hits(found: DataFrame, text: str = "text", spans: str = "hit_spans")
         return each
 
     made = append_columns(found, [kind], rows, inputs=[text, spans])
-    return made.select(*found.columns)
+    return made.select(*map(named, found.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
