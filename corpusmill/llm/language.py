@@ -11,13 +11,15 @@ that are not asked to be kept are dropped; a kept one named like a result gives
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import append_columns, crc_bucket, table
+from corpusmill.llm.common import append_columns, checkpoint, crc_bucket, named, table
 
 BUCKETS = 4096
 #: The classifier is fitted on about so many labelled rows of each language at most.
@@ -64,20 +66,31 @@ def clustered(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
+def rows_of(places: Iterable[list[int]], numbers: Iterable[list[int]]) -> np.ndarray:
+    """Dense rows of counts from the places that are not zero and their numbers."""
+    places = list(places)
+    out = np.zeros((len(places), BUCKETS), dtype=np.int32)
+    for row, at, n in zip(out, places, numbers, strict=True):
+        row[np.asarray(at, dtype=np.int64)] = n
+    return out
+
+
+def centroids_of(rows: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, float]:
+    """One language's centroids, and the cosine that nearly all its texts reach."""
+    x = weighted(rows[np.lexsort(rows.T)], idf)  # in an order of its own, so that the result is the same each time
+    centres = clustered(x, CLUSTERS).astype(np.float32)
+    return centres, float(np.quantile((x @ centres.T).max(axis=1), REJECTED))
+
+
 class Model:
     """Centroids, the language of each, and each language's rejection distance."""
 
-    def __init__(self, labelled: list[tuple[str, bytes]]):
-        labels = np.array([r[0] for r in labelled])
-        rows = np.array([np.frombuffer(r[1], dtype="<i4") for r in labelled])
-        self.idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))).astype(np.float32) + 1
-        x = weighted(rows, self.idf)
-        self.langs = sorted(set(labels))
-        parts = [clustered(x[labels == lang], CLUSTERS) for lang in self.langs]
-        self.centroids = np.concatenate(parts).astype(np.float32)
-        self.owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        best = np.stack([(x @ p.T).max(axis=1) for p in parts], axis=1)
-        self.least = np.array([np.quantile(best[labels == lang, k], REJECTED) for k, lang in enumerate(self.langs)])
+    def __init__(self, idf: np.ndarray, found: list[tuple[str, np.ndarray, float]]):
+        found = sorted(found, key=lambda f: f[0])
+        self.idf, self.langs = idf, [lang for lang, _, _ in found]
+        self.centroids = np.concatenate([c for _, c, _ in found]).astype(np.float32)
+        self.owner = np.repeat(np.arange(len(found)), [len(c) for _, c, _ in found])
+        self.least = np.array([least for _, _, least in found])
 
     def predict(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language numbers, scores and whether the text is too far from all centroids."""
@@ -94,26 +107,42 @@ def has_letter(text: str | None) -> bool:
 
 
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", row_id: str = "doc_id", sample: int = SAMPLE) -> Model | None:
-    """From about ``sample`` rows of each language at most, chosen by a hash of the id among those that ``learn`` allows."""
-    rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = rows.groupBy(lang).agg(F.count("*").alias("n")).collect()  # a row for each language
-    if not sizes:
-        return None
-    draw = F.pmod(F.xxhash64(F.col(row_id)), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for r in sizes:
-        chosen = chosen | ((F.col(lang) == r[lang]) & (draw < max(1, int(1_000_000 * min(1.0, sample / r["n"])))))
+    """From about ``sample`` rows of each language at most, chosen by a hash of the id among those that ``learn`` allows.
+
+    Counts stay on the executors: the texts that hold each n-gram are summed there, and each language's rows are clustered
+    in a task. The driver gets the sums and CLUSTERS centroids for each language.
+    """
+    own = docs.filter(learn).select(named(row_id).alias("id"), named(text).alias("text"), named(lang).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n"))
+    # Each language once: its share of rows is joined, however many languages there are.
+    share = F.greatest(F.lit(1), (F.least(F.lit(1.0), sample / F.col("n")) * 1_000_000).cast("long"))
+    draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
+    chosen = own.join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang").filter(draw < F.col("share"))
 
     def each_task():
         def each(batch: pa.RecordBatch):
-            column = batch.column(batch.schema.get_field_index(text))
-            return [pa.array([counts(x.as_py()).astype("<i4").tobytes() if has_letter(x.as_py()) else None for x in column], pa.binary())]
+            made = [counts(t) if has_letter(t) else np.zeros(0, dtype=np.int64) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            places = [np.flatnonzero(m) for m in made]
+            return [pa.array(places, pa.list_(pa.int32())), pa.array([m[p] for m, p in zip(made, places, strict=True)], pa.list_(pa.int32()))]
 
         return each
 
-    got = append_columns(rows.filter(chosen), [T.StructField("grams", T.BinaryType())], each_task, keep=[lang], inputs=[text])
-    labelled = [(r[lang], bytes(r["grams"])) for r in got.collect() if r["grams"] is not None]
-    return Model(sorted(labelled)) if labelled else None
+    kind = T.ArrayType(T.IntegerType(), False)
+    got = checkpoint(append_columns(chosen, [T.StructField("at", kind), T.StructField("n", kind)], each_task, keep=["lang"], inputs=["text"]).filter(F.size("at") > 0))
+    rows = got.count()
+    if not rows:
+        return None
+    held = np.zeros(BUCKETS)
+    for place, n in got.select(F.explode("at").alias("at")).groupBy("at").count().collect():  # BUCKETS rows at most
+        held[place] = n
+    idf = np.log((1 + rows) / (1 + held)).astype(np.float32) + 1
+
+    def cluster(key: tuple, part: pa.Table) -> pa.Table:
+        centres, least = centroids_of(rows_of(part.column("at").to_pylist(), part.column("n").to_pylist()), idf)
+        return pa.table({"lang": [key[0].as_py()], "centres": pa.array([centres.tobytes()], pa.binary()), "least": [least]})
+
+    found = got.groupBy("lang").applyInArrow(cluster, "lang string, centres binary, least double").collect()
+    return Model(idf, [(r["lang"], np.frombuffer(r["centres"], dtype=np.float32).reshape(-1, BUCKETS), r["least"]) for r in found])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
