@@ -2,9 +2,12 @@
 
 A word (between white space) is cut into values at all characters that values don't have; a value that = or : joins to
 another in front is its name. Each value of 12 characters or more with a digit (or with a known prefix) is a candidate, and
-behind a telling name or neighbouring word each one of 8 characters or more. A forest over its length, character transitions, dictionary coverage, the document's path and the neighbouring words decides whether
-it is a secret. The forest is trained on labelled findings (a bounded table, the parameter ``findings``; by default
-generated by rule with a fixed seed) and written out as SQL conditions, so scoring stays within Spark's expressions.
+behind a telling name or neighbouring word each one of 8 characters or more, digits or not. A forest over its length,
+character transitions, dictionary coverage, the document's path and the neighbouring words decides whether it is a secret.
+
+The forest is trained on a table of labelled findings (word, the two words before, path, label), the required input of
+``train``, and written out as SQL conditions, so that scoring stays within Spark's expressions. ``findings`` makes such a
+table by rule where none is at hand; a user with reviewed findings passes those.
 
 Null and empty texts have no candidates. Texts are read whole, whatever their length. Repeated rows and repeated
 secrets are each reported at their own place; a score that ties with the threshold counts as a secret. Columns of
@@ -14,20 +17,18 @@ secrets are each reported at their own place; a score that ties with the thresho
 from __future__ import annotations
 
 import math
-import random
-import string
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import table
+from corpusmill.llm.common import beside, named, table, unused
 
 LEAST = 12
 #: Behind a telling name or neighbouring word.
 LEAST_NAMED = 8
 THRESHOLD = 0.5
-TREES, DEPTH = 15, 6
+TREES, DEPTH = 15, 8
 #: Labelled findings beyond so many rows are thinned by a hash of the word.
 MOST_FINDINGS = 20_000
 WORDS = """able access account action address admin after again agent alpha app apple area array asset auth back base batch beta big block blog board body book box branch build bug button byte cache call card case change chart check child city class clean click client cloud code color column com commit common config content copy core count create crypt current data date day debug default delete demo design dev device disk doc docker docs document domain down draft drive edit email end engine entry error event example export factory false feature field file filter find first fix flag folder font foo form frame front full function game git global graph green group guide handle hash head hello help here hidden home host house html http icon image img import index info init input issue item java job json just key kind label lang large last latest layer left level lib light line link linux list load local lock log login long loop machine mail main make map mark master max media menu merge message meta method min mobile mock mode model module month mouse name net network new next node note null number object old online open option order org output package page panel parent part pass path pattern pay phone photo pixel place plan play plugin point pool port post power print private process product profile project proxy public query queue quick random range read red release remote report request reset resource rest result return right role root route row rule run safe sample save scale scan schema score script search section select send server service session set share shell shop sign simple site size small snap some sort source space spec split stack staff stage start state static status step stop store stream string style sub submit super support switch system tab table tag target task team temp test text theme thing this thread time title todo tool top total track tree true type unit update upload url user util value version video view wait watch web week well width window with word work world write www year your zero zone""".split()
@@ -113,109 +114,6 @@ def features(value: Column, name: Column, before: Column, before2: Column, path:
     return F.struct(*[made[k].alias(k) for k in FEATURES])
 
 
-def findings_by_rule(spark: SparkSession, rows: int = 3000, seed: int = 7) -> DataFrame:
-    """Labelled findings: word, the two words before, path and label (1: a secret); half of each, always the same.
-
-    To ``rows`` of the usual kinds come two thirds as many whose label hangs on a telling name or neighbouring word.
-    """
-    rng = random.Random(seed)
-    of = lambda chars, n: "".join(rng.choices(chars, k=n))
-    low, hexa, upper = string.ascii_lowercase, "0123456789abcdef", string.ascii_uppercase + string.digits
-    every = string.ascii_letters + string.digits
-    plain = lambda: of(low, rng.randint(2, 9))
-    name = lambda: rng.choice(("password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "auth_token", "client_secret", "PASSWORD", "API_TOKEN", "db_password"))
-    quote = lambda s: rng.choice((s, s, f'"{s}"', f"'{s}'"))
-
-    def secret() -> tuple[str, str, str]:
-        body = rng.choice((of(hexa, rng.choice((16, 18, 20, 24, 32, 40, 64))), of(every, rng.randint(16, 44)), of(every + "+/", 40)))
-        kind = rng.randrange(8)
-        if kind == 0:
-            return "AKIA" + of(upper, 16), plain(), plain()
-        if kind == 1:
-            return rng.choice(("ghp_", "gho_", "npm_")) + of(every, 36), plain(), plain()
-        if kind == 2:
-            return "sk-" + of(every, rng.randint(24, 48)), plain(), plain()
-        if kind == 3:
-            return "eyJ" + of(every, 20) + "." + of(every, 40) + "." + of(every, 30), rng.choice(("Bearer", plain())), plain()
-        if kind in (4, 5):
-            return name() + rng.choice("=:") + quote(body), plain(), plain()
-        if kind == 6:
-            return quote(body), rng.choice(("=", ":", "is")), name()
-        return quote(body), name() + rng.choice((":", "=", "")), plain()
-
-    def harmless() -> tuple[str, str, str]:
-        word, kind = plain(), rng.randrange(13)
-        if kind == 0:
-            return f"{plain()}.{rng.randint(0, 99):02}@{plain()}{rng.randint(0, 9)}.example.com", word, plain()
-        if kind == 1:
-            return "4" + of(string.digits, 15), word, plain()
-        if kind == 2:
-            return "-".join(of(hexa, n) for n in (8, 4, 4, 4, 12)), rng.choice(("id", "uuid", word)), plain()
-        if kind == 3:
-            return of(hexa, rng.choice((32, 40, 64))), rng.choice(("commit", "sha1", "sha256", "md5", "checksum", "digest")), plain()
-        if kind == 4:
-            return f"https://www.{plain()}.com/{plain()}/{rng.randint(1, 9999)}", word, plain()
-        if kind == 5:
-            return f"src/{rng.choice(WORDS)}/{plain()}_{rng.randint(1, 99)}.py", word, plain()
-        if kind == 6:
-            return f"20{rng.randint(10, 29)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{rng.randint(0, 23):02}:{rng.randint(0, 59):02}:00Z", word, plain()
-        if kind == 7:
-            return "".join(rng.choices(WORDS, k=3)) + str(rng.randint(1, 999)), word, plain()
-        if kind == 8:
-            return "_".join(rng.choices(WORDS, k=3)) + str(rng.randint(1, 99)), rng.choice((word, "=")), plain()
-        if kind == 9:
-            return f"+{rng.randint(1, 99)}-{of(string.digits, 3)}-{of(string.digits, 7)}", word, plain()
-        if kind == 10:
-            return of(low, rng.randint(10, 25)) + rng.choice(("", ".", "!!")) + str(rng.randint(0, 99)), word, plain()
-        if kind == 11:
-            return name() + "=" + rng.choice(("your", "example", "sample", "test", "changeme")) + "_" + "_".join(rng.choices(WORDS, k=2)) + "1", word, plain()
-        return "978-" + of(string.digits, 10), rng.choice(("ISBN", word)), plain()
-
-    out = []
-    for k in range(rows):
-        word, before, before2 = secret() if k % 2 else harmless()
-        tests = rng.random() < (0.1 if k % 2 else 0.3)
-        out.append((word, before, before2, "tests/fixtures/data.txt" if tests else f"src{rng.randint(0, 20)}", k % 2))
-    def weak() -> tuple[str, str, str]:
-        """A secret that only its name or a neighbouring word tells: short, without digits, or with other characters."""
-        phrase = rng.choice((of(low, rng.randint(8, 26)), of(low, rng.randint(8, 26)), "".join(rng.choices(WORDS, k=rng.randint(4, 6)))))
-        mixed = rng.choice((of(low, rng.randint(4, 8)) + of(string.digits, rng.randint(1, 3)) + of(low, rng.randint(3, 5)), of(low + string.digits, rng.randint(7, 11)) + "7", of(every, rng.randint(8, 15))))
-        other = of(every, rng.randint(3, 9)) + rng.choice("&!#$%^*?@:") + of(every, rng.randint(5, 12))
-        body, kind = rng.choice((phrase, mixed, mixed, other)), rng.randrange(6)
-        if kind < 3:
-            return name() + rng.choice("=:") + quote(body), plain(), plain()
-        if kind == 3:
-            return quote(rng.choice((phrase, mixed))), rng.choice(("=", ":", "is")), name()
-        if kind == 4:
-            return quote(rng.choice((phrase, mixed))), name() + rng.choice((":", "=")), plain()
-        return quote(mixed), name(), plain()
-
-    def named_harmless() -> tuple[str, str, str]:
-        """A word that follows a telling one and is no secret: a placeholder, a reference in code, prose."""
-        pick, kind = (lambda k: rng.choices(WORDS, k=k)), rng.randrange(10)
-        tell = rng.choice((name(), "private", "tokens", "passwords", "credentials", "secret", "authentication", "token", "password"))
-        if kind == 0:
-            return name() + rng.choice("=:") + quote(rng.choice(("your", "example", "sample", "test", "changeme", "my")) + rng.choice("_-") + rng.choice("_-").join(pick(2))), plain(), plain()
-        if kind == 1:
-            return name() + rng.choice("=:") + rng.choice(("process.env", "os.environ", "self", "request.form", "config", "this")) + "." + rng.choice("_.").join(pick(2)), plain(), plain()
-        if kind == 2:
-            return name() + rng.choice("=:") + quote(rng.choice("*x.X-") * rng.randint(8, 20)), plain(), plain()
-        if kind in (3, 8, 9):
-            return name() + rng.choice("=:") + rng.choice(("_".join(pick(2)), pick(1)[0] + "".join(w.title() for w in pick(2)))), plain(), plain()
-        if kind == 4:
-            return rng.choice((of(low, rng.randint(8, 14)), "".join(pick(2)), of(low, rng.randint(8, 12)).title())) + rng.choice(("", "", ",", ".")), tell, plain()
-        if kind == 5:
-            return rng.choice((of(low, rng.randint(8, 14)), "".join(pick(2)))) + rng.choice(("", "", ",", ".")), rng.choice(("of", "and", "for", plain())), tell
-        if kind == 6:
-            return rng.choice(("required", "optional", "disabled", "undefined", "protected", "unlimited", "settings", "management", "development", "_".join(pick(2)))), rng.choice((name() + ":", "is")), tell
-        return f"https://www.{plain()}.com/{plain()}/{rng.choice(WORDS)}", tell, plain()
-
-    for k in range(rows * 2 // 3):
-        word, before, before2 = weak() if k % 2 else named_harmless()
-        out.append((word, before, before2, f"src{rng.randint(0, 20)}", k % 2))
-    return spark.createDataFrame(out, "word string, before string, before2 string, path string, label int")
-
-
 def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int) -> tuple | float:
     """A tree: (feature, cut, below, above) or the share of secrets in a leaf."""
     share = float(y.mean())
@@ -276,36 +174,39 @@ def probability(forest: list, f: Column) -> Column:
 
 def scan(docs: DataFrame, forest: list, text: str = "text", path: str | None = "source", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with n_candidates and secrets: array of (place among the words, value, score) at or above the threshold."""
-    names = ("n_candidates", "secrets")
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    where = F.col(path) if path else F.lit(None).cast("string")
-    found = F.split(F.col(text), r"[\x20\x09-\x0D]+")
+    new = ("n_candidates", "secrets")
+    keep = beside(docs.columns if keep is None else keep, new)
+    own_path, own_words, own_found = unused(docs, "__path", "__words", "__found")
+    words, found = F.col(own_words), F.col(own_found)
     nothing = F.lit(None).cast("struct<place:int,word:string,before:string,before2:string>")
     pick = F.transform(
-        F.col("__words"),
+        words,
         lambda w, k: F.when(
-            may_have_candidates(w, F.get("__words", k - 1), F.get("__words", k - 2)),
-            F.struct(k.alias("place"), w.alias("word"), F.get("__words", k - 1).alias("before"), F.get("__words", k - 2).alias("before2")),
+            may_have_candidates(w, F.get(words, k - 1), F.get(words, k - 2)),
+            F.struct(k.alias("place"), w.alias("word"), F.get(words, k - 1).alias("before"), F.get(words, k - 2).alias("before2")),
         ).otherwise(nothing),
     )
-    split = F.flatten(F.transform("__found", lambda c: F.transform(pieces(c["word"]), lambda p: F.struct(c["place"].alias("place"), c["before"].alias("before"), c["before2"].alias("before2"), p.alias("w")))))
+    split = F.flatten(F.transform(found, lambda c: F.transform(pieces(c["word"]), lambda p: F.struct(c["place"].alias("place"), c["before"].alias("before"), c["before2"].alias("before2"), p.alias("w")))))
     value = lambda c: c["w"]["value"]
-    described = F.transform("__found", lambda c: F.struct(c["place"].alias("place"), value(c).alias("value"), features(value(c), c["w"]["name"], c["before"], c["before2"], F.col("__path")).alias("f")))
-    scored = F.transform("__found", lambda c: F.struct(c["place"].alias("place"), c["value"].alias("value"), probability(forest, c["f"]).alias("score")))
+    described = F.transform(found, lambda c: F.struct(c["place"].alias("place"), value(c).alias("value"), features(value(c), c["w"]["name"], c["before"], c["before2"], F.col(own_path)).alias("f")))
+    scored = F.transform(found, lambda c: F.struct(c["place"].alias("place"), c["value"].alias("value"), probability(forest, c["f"]).alias("score")))
+    kind = "array<struct<place:int,value:string,score:double>>"
     return (
-        docs.select(*keep, where.alias("__path"), found.alias("__words"))
-        .withColumn("__found", F.array_compact(pick))
-        .withColumn("__found", F.filter(split, lambda c: is_candidate(value(c), c["w"]["name"], c["before"], c["before2"])))
-        .withColumn("n_candidates", F.greatest(F.lit(0), F.coalesce(F.size("__found"), F.lit(0))).cast("long"))
-        .withColumn("__found", described)
-        .withColumn("__found", scored)
-        .withColumn("secrets", F.coalesce(F.filter("__found", lambda c: c["score"] >= threshold), F.array().cast("array<struct<place:int,value:string,score:double>>")))
-        .select(*keep, *names)
+        docs.select(*map(named, keep), (named(path) if path else F.lit(None).cast("string")).alias(own_path), F.split(named(text), r"[\x20\x09-\x0D]+").alias(own_words))
+        .withColumn(own_found, F.array_compact(pick))
+        .withColumn(own_found, F.filter(split, lambda c: is_candidate(value(c), c["w"]["name"], c["before"], c["before2"])))
+        .withColumn("n_candidates", F.greatest(F.lit(0), F.coalesce(F.size(found), F.lit(0))).cast("long"))
+        .withColumn(own_found, described)
+        .withColumn(own_found, scored)
+        .withColumn("secrets", F.coalesce(F.filter(found, lambda c: c["score"] >= threshold), F.array().cast(kind)))
+        .select(*map(named, keep), *new)
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = train(findings_by_rule(spark))
+    from corpusmill.llm.findings import findings_by_rule
+
+    forest = train(findings_by_rule(spark))  # the tables have no labelled findings
     out = scan(table(spark, sf_dir, "documents"), forest, keep=["doc_id"])
     return out.select(
         "doc_id",
