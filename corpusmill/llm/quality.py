@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import append_columns, checkpoint, table
+from corpusmill.llm.common import append_columns, beside, checkpoint, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -132,6 +132,7 @@ def estimate(pattern: np.ndarray, count: np.ndarray, prior: float = 0.8, rounds:
 
 def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """``docs`` with COUNTS, base_failed, quality (posterior probability) and kept."""
+    keep = beside(docs.columns if keep is None else keep, ("quality", "kept"))
     found = checkpoint(measured(docs, text, keep))
     patterns = found.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3 ** rules rows
     if patterns:
