@@ -60,6 +60,22 @@ def test_segments_are_the_maximal_ones():
         assert [(a, b) for a, b, _ in toxicity.segments(np.array(score))] == plain(score)
 
 
+def test_segments_take_linear_time():
+    import time
+
+    def seconds(n):
+        rng = np.random.default_rng(n)
+        best = []
+        for score in (np.tile([1.0, -2.0], n // 2), np.where(rng.random(n) < 0.5, 1.0, -1.01), np.tile([1.0, -0.999], n // 2)):
+            start = time.perf_counter()
+            toxicity.segments(score)
+            best.append(time.perf_counter() - start)
+        return max(best)
+
+    seconds(1000)
+    assert seconds(1_000_000) < 60 * seconds(50_000) + 0.5  # twenty times as long; the square would be 400 times
+
+
 def test_repeated_words_as_by_hand():
     rng = random.Random(4)
     for n in (0, 1, 2, 3, 40):
@@ -75,7 +91,7 @@ def test_em_tells_good_from_bad_patterns():
     assert post[0] > 0.9 and post[1] < 0.1
 
 
-def test_trie_counts_equal_a_plain_search():
+def test_trie_counts_equal_a_plain_search(monkeypatch):
     pieces = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, "▁a": -2.2, "ba": -2.9, "▁ab": -6.0}
     own = tokencount.Counter(pieces)
 
@@ -90,14 +106,22 @@ def test_trie_counts_equal_a_plain_search():
 
     rng = random.Random(5)
     texts = ["".join(rng.choices("abcé ", k=rng.randint(0, 20))) for _ in range(200)]
+    want = [sum(plain("▁" + w) for w in text.split()) for text in texts]
+    assert own.texts(texts) == want == own.texts(texts)
+    monkeypatch.setattr(tokencount, "TOGETHER", 5)
+    monkeypatch.setattr(tokencount, "KNOWN", 20)
+    monkeypatch.setattr(tokencount, "LONGEST", 6)
+    assert tokencount.Counter(pieces).texts(texts) == want
+    assert own.texts([None, "  "]) == [0, 0] and own.texts([]) == []
+
+
+def test_sentences_are_the_text():
+    rng = random.Random(7)
+    texts = ["", "One. Two!\n\nThree", "...", "a.b?c  d\n", "\n\n"] + ["".join(rng.choices("ab.!? \n\t\x0b\x85é", k=rng.randint(0, 60))) for _ in range(500)]
     for text in texts:
-        assert own.text(text) == sum(plain("▁" + w) for w in text.split())
-    assert own.text(None) == own.text("  ") == 0
-
-
-def test_pieces_are_the_text():
-    for text in ("", "One. Two!\n\nThree", "...", "a.b?c  d\n", "\n\n"):
-        assert "".join(spandedup.pieces(text)[0]) == text
+        before, cut = spandedup.sentences(text)
+        assert before + "".join(cut) == text and not before.strip(spandedup.BLANK) and all(s.strip(spandedup.BLANK) for s in cut)
+    assert spandedup.sentences("It is 3.14. Or e.g. " + "w " * 20)[1] == ["It is 3.14. ", "Or e.g. ", "w " * 16, "w " * 4]
 
 
 def test_minhash_estimates_and_pruning_keeps_similar_pairs():
@@ -114,7 +138,9 @@ def test_minhash_estimates_and_pruning_keeps_similar_pairs():
 
 def test_language_model_separates():
     texts = [("en", "the cat and the dog were in the house with that man"), ("de", "der hund und die katze sind nicht im haus mit dem mann")] * 5
-    model = language.Model([(lang, language.counts(t).astype("<i4").tobytes()) for lang, t in texts])
+    rows = {lang: np.array([language.counts(t) for own, t in texts if own == lang]) for lang in ("en", "de")}
+    idf = np.ones(language.BUCKETS, dtype=np.float32)
+    model = language.Model(idf, [(lang, *language.centroids_of(r, idf)) for lang, r in rows.items()])
     top, score, _ = model.predict(np.array([language.counts("the dog in the house"), language.counts("der hund im haus")]))
     assert [model.langs[k] for k in top] == ["en", "de"] and (score > 0).all()
     assert not language.has_letter(None) and not language.has_letter("123 !") and language.has_letter("1é")
