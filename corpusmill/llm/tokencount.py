@@ -1,14 +1,17 @@
 """Token counts by dynamic programming shared in a trie.
 
 Under a unigram model a pre-token is cut into the pieces with the highest sum of scores. The best score of a prefix does
-not depend on what follows it, so pre-tokens are inserted in a trie whose nodes hold the best score of their prefix and
-how many tokens reach it: it is computed once for all pre-tokens that share the prefix, and the terminal node's number
-of tokens is the pre-token's count. A worker keeps one trie and starts a new one when it is full, which changes no result.
+not depend on what follows it, so the distinct pre-tokens of a batch form a trie whose nodes hold the best score of their
+prefix and how many tokens reach it: it is computed once for all pre-tokens that share the prefix, and a terminal node's
+number of tokens is stored as its pre-token's count. The trie is walked depth first, over the sorted pre-tokens, so that a
+node is held only while pre-tokens below it follow. Stored counts serve later batches; when there are too many they are
+emptied, which changes no result.
 
 The vocabulary is a piece file of the sentencepiece library. Scores follow Zipf's law over the piece numbers, as the
-public file is not a unigram one: log probability -log(number + 1). Pre-tokens are the stretches between spaces, with
-the word-start mark in front. A character that begins no known piece is spelled by its UTF-8 bytes, a token each. Among
-equal scores the cut with fewer tokens wins.
+public file is not a unigram one and tokenizers are not trained here: log probability -log(number + 1). The counts are
+those of this model, for budgets and comparisons, and not of that library's BPE. Pre-tokens are the stretches between
+spaces, with the word-start mark in front. A character that begins no known piece is spelled by its UTF-8 bytes, a token
+each. Among equal scores the cut with fewer tokens wins.
 
 Null and empty texts, and texts of spaces only, have no tokens. Texts are read whole; a pre-token of any length takes
 linear time. Repeated rows are counted alike. Columns that are not asked to be kept are dropped; a kept one named like
@@ -18,6 +21,7 @@ a result gives way to it.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,85 +31,80 @@ from pyspark.sql import types as T
 from corpusmill.llm.common import append_columns, table
 
 MARK = "▁"
-#: Nodes of a worker's trie, and pre-tokens whose count it keeps; beyond them it starts anew.
-NODES = 700_000
-KNOWN = 500_000
-#: Longest pre-token whose nodes are kept in the trie.
+#: Pre-tokens whose count a worker keeps from batch to batch, and new ones that it gathers for one walk.
+KNOWN, TOGETHER = 600_000, 300_000
+#: Longest pre-token whose count is kept.
 LONGEST = 128
 
 
-class Node:
-    """A prefix: the best score up to here, its number of tokens, and the nodes below."""
-
-    __slots__ = ("below", "count", "score")
-
-    def __init__(self, score: float, count: int):
-        self.score, self.count, self.below = score, count, {}
-
-
 class Counter:
     """Counts of one vocabulary, given as piece -> log probability."""
 
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
         self.byte_score = min(pieces.values(), default=0.0) - 1.0
-        self.root, self.nodes = Node(0.0, 0), 0
         self.known: dict[str, int] = {}
         ends: dict[str, set[int]] = {}
         for p in pieces:
-            ends.setdefault(p[-1], set()).add(len(p))
-        #: Lengths of the pieces that end in a character.
-        self.lengths = {c: sorted(s) for c, s in ends.items()}
-
-    def step(self, word: str, end: int, score: list[float], count: list[int]) -> tuple[float, int]:
-        """The best way to reach ``end``, from the bests of all shorter prefixes."""
-        c = word[end - 1]
-        spelled = len(c.encode("utf-8", "replace"))
-        best, tokens = score[end - 1] + spelled * self.byte_score, count[end - 1] + spelled
-        get = self.pieces.get
-        for n in self.lengths.get(c, ()):
-            if n > end:
-                break
-            own = get(word[end - n : end])
-            if own is not None:
-                s, k = score[end - n] + own, count[end - n] + 1
-                if s > best or (s == best and k < tokens):
-                    best, tokens = s, k
-        return best, tokens
-
-    def count(self, word: str) -> int:
-        """Tokens of a pre-token."""
-        node, score, count = self.root, [0.0], [0]
-        for k, c in enumerate(word):
-            after = node.below.get(c) if node is not None else None
-            if after is None:
-                s, n = self.step(word, k + 1, score, count)
-                if node is not None and k < LONGEST:
-                    after = node.below[c] = Node(s, n)
-                    self.nodes += 1
-                score.append(s)
-                count.append(n)
-            else:
-                score.append(after.score)
-                count.append(after.count)
-            node = after
-        if self.nodes > NODES:
-            self.root, self.nodes = Node(0.0, 0), 0
-        if len(self.known) >= KNOWN:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        #: Lengths of the pieces that end in two characters.
+        self.lengths = {c: tuple(sorted(s)) for c, s in ends.items()}
+
+    def walk(self, words: Iterable[str]) -> None:
+        """Store the counts of distinct pre-tokens, given in sorted order: neighbours share a path in the trie."""
+        pieces, lengths, byte_score, known = self.pieces.get, self.lengths.get, self.byte_score, self.known
+        score, count, last = [0.0], [0], ""
+        for own in words:
+            word = MARK + own
+            size, k, most = len(word), 0, min(len(word), len(last))
+            while k < most and word[k] == last[k]:
+                k += 1
+            del score[k + 1 :], count[k + 1 :]
+            for end in range(k + 1, size + 1):
+                c = word[end - 1]
+                single = pieces(c)
+                if single is None:
+                    spelled = len(c.encode("utf-8", "replace"))
+                    best, tokens = score[-1] + spelled * byte_score, count[-1] + spelled
+                else:
+                    best, tokens = score[-1] + single, count[-1] + 1
+                for n in lengths(word[end - 2 : end] if end > 1 else "", ()):
+                    if n > end:
+                        break
+                    piece = pieces(word[end - n : end])
+                    if piece is not None:
+                        s = score[end - n] + piece
+                        if s > best or (s == best and count[end - n] + 1 < tokens):
+                            best, tokens = s, count[end - n] + 1
+                score.append(best)
+                count.append(tokens)
+            known[own] = count[-1]
+            last = word
+
+    def texts(self, texts: Iterable[str | None]) -> list[int]:
+        """Tokens of each text."""
+        out: list[int] = []
+        held: list[str] = []
+        fresh: set[str] = set()
+        for text in texts:
+            held.append(text or "")
+            fresh |= set(held[-1].split()).difference(self.known)
+            if len(fresh) >= TOGETHER:
+                out += self._counted(held, fresh)
+                held, fresh = [], set()
+        return out + self._counted(held, fresh)
+
+    def _counted(self, held: list[str], fresh: set[str]) -> list[int]:
+        self.walk(sorted(fresh))
+        own = self.known.__getitem__
+        out = [sum(map(own, text.split())) for text in held]
+        for word in fresh:
+            if len(word) > LONGEST:
+                del self.known[word]
+        if len(self.known) > KNOWN:
             self.known.clear()
-        if len(word) <= LONGEST:
-            self.known[word] = count[-1]
-        return count[-1]
-
-    def text(self, text: str | None) -> int:
-        get, own = self.known.get, self.count
-        total = 0
-        for chunk in (text or "").split():
-            word = MARK + chunk
-            n = get(word)
-            total += own(word) if n is None else n
-        return total
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -129,7 +128,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: list[str]
 
         def each(batch: pa.RecordBatch):
             column = batch.column(batch.schema.get_field_index(text))
-            return [pa.array([own.text(x.as_py()) for x in column], pa.int64())]
+            return [pa.array(own.texts(x.as_py() for x in column), pa.int64())]
 
         return each
 
