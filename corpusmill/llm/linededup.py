@@ -80,8 +80,9 @@ def matches(docs: DataFrame, text: str, row_id: str, run_words: int) -> DataFram
     """Windows (id, key, start, stop) that are not the first of their kind, with the document and start of the first."""
     keyed = docs.select(named(row_id).alias("id"), F.xxhash64(named(text)).alias("key"), named(text).alias("text")).filter(F.length("text") > 0)
     lined = keyed.select("id", "key", hashed_lines(F.col("text")).alias("lines"))
-    # The array of lines is a column of its own, made once, before the windows are taken from it.
-    spots = checkpoint(lined.select("id", "key", windows(F.col("lines"), run_words).alias("spots")).filter(F.size("spots") > 0))
+    # The array of lines is a column of its own, made once, before the windows are taken from it. No filter on the windows
+    # stands here: it would be pushed below and make them again for every row, from lines that are made for every use.
+    spots = checkpoint(lined.select("id", "key", windows(F.col("lines"), run_words).alias("spots")))
     selected = F.array_distinct(F.transform("spots", lambda s: F.struct(s["fingerprint"].alias("fingerprint"), s["at"].alias("at"))))
     positions = spots.select("id", "key", F.explode(selected).alias("s")).select("s.fingerprint", F.struct("id", "key", "s.at").alias("here"))
     # Fingerprints of more than one position: the least and the greatest differ.
