@@ -15,14 +15,26 @@ IFRAME, AGGRESSIVE, UNCLOSED = re.compile(P.NOISE_IFRAME), re.compile(P.AGGRESSI
 PRE = re.compile(r"(?is)<pre\b[^>]*>(.*?)</pre>")
 CODE = re.compile(r"(?is)<code\b[^>]*>(.*?)</code>")
 CODE_TAGS = re.compile(r"(?is)</?code\b[^>]*>")
-SPACES = re.compile(r"[ \t]{2,}")
+SPACES, BLANK_LINES = re.compile(r"[ \t]{2,}"), re.compile(P.BLANK_LINES)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript svg meta link head template".split())
 SPACED = frozenset("html body main article p div section header blockquote ul ol".split())
 #: An opening tag ends these open elements, looked for no further out than the last set.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"})}
 BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-DEEPEST = 400
+# Tags as the writer without a tree sees them.
+TABLE, ROW = re.compile(r"(?is)<table\b[^>]*>(.*?)</table>"), re.compile(r"(?is)<tr\b[^>]*>(.*?)</tr>")
+CELL = re.compile(r"(?is)<(?:th|td)\b[^>]*>(.*?)</(?:th|td)>")
+LINK = re.compile(r"""(?is)<a\b[^>]*href\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a>""")
+HEADING = re.compile(r"(?is)<h([1-6])\b[^>]*>(.*?)</h[1-6]>")
+BACKTICKED = re.compile(r"`[^`\n]+`")
+STRUCTURE = (
+    (re.compile(r"(?is)<br\s*/?>"), "\n"),
+    (re.compile(r"(?is)<li\b[^>]*>"), "\n- "),
+    (re.compile(r"(?is)</li>"), "\n"),
+    (re.compile(r"(?is)</(?:p|div|section|article|main|header|blockquote|ul|ol|tr)>"), "\n\n"),
+    (re.compile(r"(?is)<(?:p|div|section|article|main|header|blockquote|ul|ol|tr)\b[^>]*>"), "\n"),
+)
 
 
 def tokens(text: str) -> int:
@@ -101,7 +113,7 @@ class Tree(HTMLParser):
             self._close({"p"}, {"table", "td", "th", "button"})
         own = Element(tag, {k: v or "" for k, v in reversed(attrs)})
         self.open[-1].children.append(own)
-        if tag not in VOID and len(self.open) < DEEPEST:
+        if tag not in VOID:
             self.open.append(own)
 
     def handle_startendtag(self, tag, attrs):
@@ -118,14 +130,16 @@ class Tree(HTMLParser):
 
 
 def text_of(node: Element, raw: bool) -> str:
-    out = []
-    for child in node.children:
+    """All text below a node, however deep; ``raw``: with line ends for br."""
+    out, left = [], list(reversed(node.children))
+    while left:
+        child = left.pop()
         if isinstance(child, str):
             out.append(child)
         elif raw and child.tag == "br":
             out.append("\n")
         elif child.tag not in ("script", "style", "noscript", "svg"):
-            out.append(text_of(child, raw))
+            left.extend(reversed(child.children))
     return "".join(out)
 
 
@@ -139,22 +153,51 @@ def is_noise(node: Element, aggressive: bool) -> bool:
 
 
 class Writer:
-    """Writes elements as Markdown."""
+    """Writes elements as Markdown; what is still to be written lies on a stack, so that pages may be nested to any depth."""
+
+    GAP = object()
 
     def __init__(self, mode: str):
-        self.mode, self.out = mode, ""
+        self.mode, self.parts = mode, []
+        self.left: list = []
+
+    def add(self, text: str) -> None:
+        if text:
+            self.parts.append(text)
 
     def gap(self) -> None:
-        self.out = self.out.rstrip(" \t")
-        if self.out:
-            ends = len(self.out[-2:]) - len(self.out[-2:].rstrip("\n"))
-            self.out += "\n" * (2 - ends)
+        """A blank line, unless nothing stands before it."""
+        while self.parts:
+            last = self.parts.pop().rstrip(" \t")
+            if last:
+                self.parts.append(last)
+                break
+        if self.parts:
+            end = (self.parts[-2][-1:] if len(self.parts) > 1 and len(self.parts[-1]) < 2 else "") + self.parts[-1][-2:]
+            self.add("\n" * (2 - len(end) + len(end.rstrip("\n"))))
 
     def spaced(self, text: str) -> None:
         self.gap()
-        self.out += text
+        self.add(text)
         self.gap()
 
+    def below(self, node: Element, *after: object) -> None:
+        """A node's children come next, then ``after``."""
+        self.left.extend(reversed(after))
+        self.left.extend(reversed(node.children))
+
+    def write(self, root: Element) -> str:
+        self.below(root)
+        while self.left:
+            item = self.left.pop()
+            if item is self.GAP:
+                self.gap()
+            elif isinstance(item, str):
+                self.add(item)
+            else:
+                self.element(item)
+        return "".join(self.parts)
+
     def element(self, node: Element) -> None:
         tag, strict = node.tag, self.mode != "light"
         if tag in HIDDEN or (strict and tag in ("nav", "footer", "aside")):
@@ -162,21 +205,19 @@ class Writer:
         if strict and tag in (*P.NOISE_TAGS, "iframe") and is_noise(node, self.mode == "aggressive"):
             return
         if tag == "br":
-            self.out += "\n"
+            self.add("\n")
         elif tag in SPACED:
             self.gap()
-            self.children(node)
-            self.gap()
+            self.below(node, self.GAP)
         elif tag == "li":
-            self.out += "\n- "
-            self.children(node)
-            self.out += "\n"
+            self.add("\n- ")
+            self.below(node, "\n")
         elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
             if label := inline(text_of(node, False)):
                 self.spaced("#" * int(tag[1]) + " " + label)
         elif tag == "a":
             label, target = inline(text_of(node, False)), node.attributes.get("href", "").strip()
-            self.out += f"[{label}]({target})" if label and target else label
+            self.add(f"[{label}]({target})" if label and target else label)
         elif tag == "table":
             if found := rows_of(node):
                 self.spaced(table(found))
@@ -186,42 +227,26 @@ class Writer:
                 self.spaced(f"```\n{stripped}\n```")
         elif tag == "code":
             if (code := text_of(node, True)).strip():
-                self.out += f"`{inline(code)}`"
+                self.add(f"`{inline(code)}`")
         else:
-            self.children(node)
-
-    def children(self, node: Element) -> None:
-        for child in node.children:
-            if isinstance(child, str):
-                self.out += child
-            else:
-                self.element(child)
+            self.below(node)
 
 
 def rows_of(node: Element) -> list[list[str]]:
+    """Rows of a table and of tables within, each with its cells that hold text."""
     out: list[list[str]] = []
-
-    def cells(of: Element, row: list[str]) -> None:
-        for c in of.children:
-            if not isinstance(c, str):
-                if c.tag not in ("td", "th"):
-                    cells(c, row)
-                elif label := inline(text_of(c, False)):
-                    row.append(label.replace("|", "\\|"))
-
-    def walk(of: Element) -> None:
-        if of.tag == "tr":
-            row: list[str] = []
-            cells(of, row)
-            if row:
-                out.append(row)
-            return
-        for c in of.children:
-            if not isinstance(c, str):
-                walk(c)
-
-    walk(node)
-    return out
+    left: list[tuple[Element, list[str] | None]] = [(node, None)]
+    while left:
+        own, row = left.pop()
+        if row is not None and own.tag in ("td", "th"):
+            if label := inline(text_of(own, False)):
+                row.append(label.replace("|", "\\|"))
+            continue
+        if row is None and own.tag == "tr":
+            row = []
+            out.append(row)
+        left.extend((c, row) for c in reversed(own.children) if not isinstance(c, str))
+    return [row for row in out if row]
 
 
 def table(rows: list[list[str]]) -> str:
@@ -229,28 +254,70 @@ def table(rows: list[list[str]]) -> str:
     return line(rows[0]) + line(["---"] * len(rows[0])) + "".join(map(line, rows[1:]))
 
 
+class Held:
+    """Pieces set aside under marks that the text itself doesn't hold."""
+
+    def __init__(self, text: str):
+        self.mark = "\ue000"
+        while self.mark in text:
+            self.mark += "\ue000"
+        self.pieces: list[str] = []
+
+    def hold(self, piece: str) -> str:
+        self.pieces.append(piece)
+        return f"{self.mark}{len(self.pieces) - 1}\ue001"
+
+    def restored(self, text: str) -> str:
+        # No digit follows a shorter run of the mark's character, so a run before a mark does no harm.
+        return re.sub(self.mark + "(\\d+)\ue001", lambda m: self.pieces[int(m.group(1))], text) if self.pieces else text
+
+
+def tidy(text: str) -> str:
+    lines = "\n".join(inline(x) for x in text.split("\n"))
+    return BLANK_LINES.sub("\n\n", lines).strip()
+
+
+def plain(text: str) -> str:
+    return inline(TAG.sub("", text))
+
+
+def by_patterns(text: str) -> str:
+    """A page written without a tree, tag by tag: for pages whose tree has nothing to show."""
+
+    def rows(m: re.Match) -> str:
+        found = [[c.replace("|", "\\|") for x in CELL.findall(row) if (c := plain(x))] for row in ROW.findall(m.group(1))]
+        found = [row for row in found if row]
+        return f"\n\n{table(found)}\n" if found else "\n"
+
+    def link(m: re.Match) -> str:
+        target, label = m.group(1).strip(), plain(m.group(2))
+        return f"[{label}]({target})" if target and label else label
+
+    def heading(m: re.Match) -> str:
+        label = plain(m.group(2))
+        return f"\n\n{'#' * int(m.group(1))} {label}\n\n" if label else "\n"
+
+    text = HEADING.sub(heading, LINK.sub(link, TABLE.sub(rows, text)))
+    text = CODE.sub(lambda m: f"`{c}`" if (c := inline(m.group(1))) else "", text)
+    held = Held(text)
+    text = BACKTICKED.sub(lambda m: held.hold(m.group()), text)
+    for pattern, made in STRUCTURE:
+        text = pattern.sub(made, text)
+    return held.restored(tidy(TAG.sub("", text)))
+
+
 def markdown(text: str, mode: str = "standard") -> str:
     """A page as Markdown; what is no HTML stays as it is. Code is set aside first, so that nothing in it is a tag."""
     if not HINT.search(text):
         return text
-    held: list[str] = []
-
-    def hold(made: str, around: str = "") -> str:
-        held.append(made)
-        return f"{around}\ue000{len(held) - 1}\ue001{around}"
-
-    safe = text.replace("\ue000", "").replace("\ue001", "")  # private characters mark what is set aside
-    safe = PRE.sub(lambda m: hold("\n\n```\n" + CODE_TAGS.sub("", m.group(1)).strip("\n") + "\n```\n\n", "\n"), safe)
-    safe = CODE.sub(lambda m: hold(f"`{c}`" if (c := inline(m.group(1))) else ""), safe)
+    held = Held(text)
+    safe = PRE.sub(lambda m: "\n" + held.hold("\n\n```\n" + CODE_TAGS.sub("", m.group(1)).strip("\n") + "\n```\n\n") + "\n", text)
+    safe = CODE.sub(lambda m: held.hold(f"`{c}`" if (c := inline(m.group(1))) else ""), safe)
     tree = Tree()
     tree.feed(safe)
     tree.close()
-    writer = Writer(mode)
-    writer.children(tree.root)
-    lines = "\n".join(inline(x) for x in writer.out.split("\n"))
-    out = re.sub(r"\n{3,}", "\n\n", lines).strip() or inline(TAG.sub("", safe))
-    out = re.sub("\ue000(\\d+)\ue001", lambda m: held[int(m.group(1))], out)
-    out = re.sub(r"\n{3,}", "\n\n", out).strip()
+    out = held.restored(tidy(Writer(mode).write(tree.root)) or by_patterns(safe))
+    out = BLANK_LINES.sub("\n\n", out).strip()
     if mode == "aggressive":
         out = "\n".join(x for x in out.split("\n") if not (len(x.strip()) > 6 and set(x.strip()) <= set("-_=")))
     return out

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +22,7 @@ FORMATS = ("text", "markdown", "json")
 
 @dataclass(frozen=True)
 class CleanOptions:
-    """What to clean and how; ``max_tokens`` may not exceed the preset named by ``fit``."""
+    """What to clean and how; unless not ``bounded``, ``max_tokens`` may not exceed the preset named by ``fit``."""
 
     mode: str = "standard"
     format: str = "markdown"
@@ -30,6 +30,7 @@ class CleanOptions:
     fit: str | None = None
     strip_comments: bool = False
     redact_secrets: bool = True
+    bounded: bool = True
 
     def __post_init__(self):
         if self.mode not in MODES or self.format not in FORMATS:
@@ -38,7 +39,7 @@ class CleanOptions:
             raise ValueError(f"fit is one of {tuple(P.PRESETS)}")
         if self.max_tokens is not None and self.max_tokens < 0:
             raise ValueError("max_tokens is negative")
-        if self.fit and self.max_tokens and self.max_tokens > P.PRESETS[self.fit][1]:
+        if self.bounded and self.fit and self.max_tokens and self.max_tokens > P.PRESETS[self.fit][1]:
             raise ValueError(f"max_tokens is beyond what {self.fit} takes")
 
     @property
@@ -63,8 +64,11 @@ def count_tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.fillna("").map(tokens.count)
 
 
+GONE = "array<struct<label:string,tokens:bigint,count:bigint>>"
+
+
 def noise_blocks_udf(aggressive: bool):
-    @F.pandas_udf("content string, gone array<struct<label:string,tokens:bigint,count:bigint>>")
+    @F.pandas_udf(f"content string, gone {GONE}")
     def run(texts: pd.Series) -> pd.DataFrame:
         made = [markup.noise_blocks(t or "", aggressive) for t in texts]
         return pd.DataFrame({"content": [m[0] for m in made], "gone": [[{"label": a, "tokens": b, "count": c} for a, b, c in m[1]] for m in made]})
@@ -80,10 +84,13 @@ def markdown_udf(mode: str):
     return run
 
 
-def pack_udf(limit: int):
-    @F.pandas_udf("content string, removed bigint, applied boolean")
+def pack_udf(limit: int | None):
+    """A text within its budget, what that removed, and the tokens of the text as it is given out."""
+
+    @F.pandas_udf("content string, removed bigint, applied boolean, tokens bigint")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([tokens.pack(t or "", limit) for t in texts], columns=["content", "removed", "applied"])
+        made = [tokens.pack(t or "", limit) if limit is not None else (t or "", 0, False) for t in texts]
+        return pd.DataFrame([(m[0], m[1], m[2], tokens.count(markup.BLANK_LINES.sub("\n\n", m[0]).strip())) for m in made], columns=["content", "removed", "applied", "tokens"])
 
     return run
 
@@ -95,58 +102,75 @@ def remove_noise_blocks(df: DataFrame, aggressive: bool) -> DataFrame:
 
 
 def pack(df: DataFrame, options: CleanOptions) -> DataFrame:
+    """The content within its budget and trimmed, with its tokens: the last Python step of a cleaning."""
     df = df.withColumn("__packed", pack_udf(options.limit)("content"))
-    df = df.withColumns({"__applied": F.col("__packed.applied"), "__removed": F.col("__packed.removed"), "content": F.col("__packed.content")}).drop("__packed")
+    df = df.withColumns({"__applied": F.col("__packed.applied"), "__removed": F.col("__packed.removed"), "__tokens": F.col("__packed.tokens"), "content": X.trim(X.collapse_blank_lines(F.col("__packed.content")))}).drop("__packed")
     return O.account(df, "truncated", "token budget truncation", F.col("__removed"), F.col("__applied").cast("long"), "truncation")
 
 
 def passes(df: DataFrame, options: CleanOptions) -> DataFrame:
     """All passes before packing, in their order."""
     strong = options.mode == "aggressive"
-    df = O.remove_executed(df.withColumn("content", X.normalized(F.col("content"))))
+    df = O.held(O.remove_executed(df.withColumn("content", X.normalized(F.col("content")))))
     if options.mode != "light":
-        df = O.remove_comments(O.remove_furniture(df))
-        df = O.drop_boilerplate(remove_noise_blocks(df, strong), strong)
-        df = O.crush_logs(df.withColumn("content", markdown_udf(options.mode)("content")), strong)
+        df = O.held(O.remove_comments(O.remove_furniture(df)))
+        df = O.held(O.drop_boilerplate(remove_noise_blocks(df, strong), strong))
+        df = O.held(O.crush_logs(df.withColumn("content", markdown_udf(options.mode)("content")), strong))
     if options.strip_comments:
         df = O.strip_code_comments(df)
     if options.redact_secrets:
         df = O.redact(df)
     if strong:
         df = O.drop_decoration(df).withColumn("content", X.collapse_blank_lines(F.col("content")))
-    return df
+    return O.held(df)
 
 
-def clean(docs: DataFrame, options: CleanOptions = CleanOptions(), text: str = "text", source: str | None = None) -> DataFrame:
-    """``docs`` (without the text) with ``result``: content, statistics, accounts and warnings of each document."""
-    keep = [c for c in docs.columns if c not in (text, "result", "content")]
-    df = docs.select(*keep, (F.col(source).cast("string") if source else F.lit(None).cast("string")).alias("__source"), F.coalesce(F.col(text), F.lit("")).alias("content"))
-    stats = lambda: F.struct(F.octet_length("content").cast("long").alias("bytes"), F.length("content").cast("long").alias("chars"), count_tokens("content").alias("tokens"))
-    df = passes(O.with_accounts(df.withColumn("__input", stats())), options)
-    df = df.withColumns({"__applied": F.lit(False), "__removed": F.lit(0).cast("long")})
-    if options.limit is not None:
-        df = pack(df, options)
-    df = O.closed(df.withColumn("content", X.trim(X.collapse_blank_lines(F.col("content")))).withColumn("__output", stats()))
-    preset = P.PRESETS.get(options.fit or "")
+def budget(options: CleanOptions) -> Column:
+    """The token budget that the options set, and where it comes from."""
+    model, most, answer = P.PRESETS.get(options.fit or "", (None, None, None))
     lit = lambda v, kind: F.lit(v).cast(kind)
-    budget = F.struct(
-        lit(options.fit, "string").alias("fit"), lit(preset and preset[0], "string").alias("model_id"), F.lit("byte_bpe_50k").alias("tokenizer"), F.lit(True).alias("token_count_is_exact"),
-        lit(preset and preset[1], "long").alias("preset_limit_tokens"), lit(options.limit, "long").alias("effective_limit_tokens"), lit(preset and preset[2], "long").alias("model_max_output_tokens"), F.lit(options.limit_source).alias("limit_source"),
+    return F.struct(
+        lit(options.fit, "string").alias("fit"), lit(model, "string").alias("model_id"), F.lit("byte_bpe_50k").alias("tokenizer"), F.lit(True).alias("token_count_is_exact"), lit(most, "long").alias("preset_limit_tokens"),
+        lit(options.limit, "long").alias("effective_limit_tokens"), lit(answer, "long").alias("model_max_output_tokens"), F.lit(options.limit_source).alias("limit_source"),
     )
+
+
+def clean(docs: DataFrame, options: CleanOptions = CleanOptions(), text: str = "text", source: str | None = None) -> DataFrame:
+    """``docs`` (without the text) with ``result``: content, statistics, accounts and warnings of each document.
+
+    Warnings that a source gave (a column ``source_warnings`` of ``docs``) come after those of the cleaning.
+    """
+    given = "source_warnings" in docs.columns
+    keep = [c for c in docs.columns if c not in (text, "result", "content", "source_warnings")]
+    df = docs.select(*keep, *(["source_warnings"] if given else []), (F.col(source).cast("string") if source else F.lit(None).cast("string")).alias("__source"), F.coalesce(F.col(text), F.lit("")).alias("content"))
+    stats = lambda n: F.struct(F.octet_length("content").cast("long").alias("bytes"), F.length("content").cast("long").alias("chars"), n.alias("tokens"))
+    df = passes(O.with_accounts(df.withColumn("__input", stats(count_tokens("content")))), options)
+    df = O.closed(pack(df, options)).withColumn("__output", stats(F.col("__tokens")))
+    lit = lambda v, kind: F.lit(v).cast(kind)
     truncation = F.struct(F.col("__applied").alias("applied"), lit(options.limit, "long").alias("limit_tokens"), F.col("__removed").alias("tokens_removed"), F.when(F.col("__applied"), F.lit(options.reason)).alias("reason"))
     result = F.struct(
         F.lit(__version__).alias("version"), F.lit(options.mode).alias("mode"), F.lit(options.format).alias("format"), F.col("__source").alias("source"),
         F.col("__input").alias("input"), F.struct("__output.*", "content").alias("output"), X.metrics(F.col("__input.tokens"), F.col("__output.tokens")).alias("metrics"),
-        budget.alias("budget"), truncation.alias("truncation"), "removed_sections", "noise_sources", "warnings",
+        budget(options).alias("budget"), truncation.alias("truncation"), "removed_sections", "noise_sources", (F.concat("warnings", "source_warnings") if given else F.col("warnings")).alias("warnings"),
     )
     return df.select(*keep, result.alias("result"))
 
 
-def report(results: DataFrame) -> DataFrame:
-    """Tokens, the five biggest noise sources and removed sections by kind, of each result."""
+def command(options: CleanOptions, source: Column, include_sensitive: bool = False) -> Column:
+    """The command line that cleans the same source in the same way."""
+    words = [] if options.mode == "standard" else ["--mode", options.mode]
+    words += ["--fit", options.fit] if options.fit else []
+    words += ["--max-tokens", str(options.max_tokens)] if options.max_tokens is not None else []
+    words += ["--strip-comments"] if options.strip_comments else []
+    words += ["--include-sensitive"] if include_sensitive else []
+    return F.concat_ws(" ", F.lit("corpusmill"), F.coalesce(source, F.lit("-")), *map(F.lit, [*words, "--format", "markdown"]))
+
+
+def report(results: DataFrame, options: CleanOptions = CleanOptions(), include_sensitive: bool = False) -> DataFrame:
+    """Tokens, the five biggest noise sources, removed sections by kind and the recommended command, of each result."""
     ranked = F.array_sort(F.transform("result.noise_sources", lambda x, i: F.struct((-x["tokens_removed"]).alias("o"), i.alias("i"), x.alias("x"))))
     biggest = F.transform(F.slice(ranked, 1, 5), lambda r: r["x"])
     kinds = F.array_sort(F.array_distinct(F.transform("result.removed_sections", lambda s: s["kind"])))
     total = lambda k, f: F.aggregate(F.filter("result.removed_sections", lambda s: s["kind"] == k), F.lit(0).cast("long"), lambda a, s: a + s[f])
     summary = F.transform(kinds, lambda k: F.struct(k.alias("kind"), total(k, "count").alias("count"), total(k, "tokens_removed").alias("tokens_removed")))
-    return results.withColumn("report", F.struct("result.source", "result.mode", F.col("result.metrics").alias("tokens"), biggest.alias("biggest_noise_sources"), summary.alias("removed_section_summary"), "result.warnings"))
+    return results.withColumn("report", F.struct("result.source", "result.mode", F.col("result.metrics").alias("tokens"), biggest.alias("biggest_noise_sources"), summary.alias("removed_section_summary"), "result.warnings", command(options, F.col("result.source"), include_sensitive).alias("recommended_command")))

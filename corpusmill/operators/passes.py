@@ -21,6 +21,15 @@ WARNING = "struct<code:string,message:string,severity:string>"
 ENTRY = "array<struct<kind:string,label:string,tokens_removed:bigint,count:bigint,noise:string,noise_label:string>>"
 
 
+def held(df: DataFrame) -> DataFrame:
+    """The same rows, with all columns made here.
+
+    The optimizer puts a column's expression in the place of its use. Through a chain of passes, each of which uses the
+    content several times, expressions would grow without bound; they do not grow beyond a generator.
+    """
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("__held")).select("__held.*")
+
+
 def with_accounts(df: DataFrame) -> DataFrame:
     return df.withColumn("warnings", F.array().cast(f"array<{WARNING}>"))
 
@@ -75,10 +84,12 @@ def remove_comments(df: DataFrame) -> DataFrame:
 
 
 def drop_lines(df: DataFrame, unwanted, kind: str, label: str, noise: str | None) -> DataFrame:
-    """Drop the lines for which ``unwanted(line)`` holds."""
-    df = df.withColumn("__lines", X.lines(F.col("content"))).withColumn("__gone", F.filter("__lines", unwanted))
+    """Drop the lines for which ``unwanted(line)`` holds; each line is judged once."""
+    df = df.withColumn("__lines", X.lines(F.col("content"))).withColumn("__off", F.transform("__lines", unwanted))
+    df = df.withColumn("__gone", F.filter("__lines", lambda _, i: F.get("__off", i)))
     df = account(df, kind, label, X.estimates(F.col("__gone")), F.size("__gone"), noise)
-    return df.withColumn("content", F.array_join(F.filter("__lines", lambda x: ~unwanted(x)), "\n")).drop("__lines", "__gone")
+    kept = F.array_join(F.filter("__lines", lambda _, i: ~F.get("__off", i)), "\n")
+    return df.withColumn("content", F.when(F.size("__gone") == 0, F.array_join("__lines", "\n")).otherwise(kept)).drop("__lines", "__off", "__gone")
 
 
 def is_boilerplate(line: Column, aggressive: bool) -> Column:
@@ -146,6 +157,20 @@ def repetition_key(line: Column) -> Column:
     return F.when((plain != "") & ~F.startswith(own, F.lit("[Collapsed stack frames:")), X.ascii_lower(plain))
 
 
+def tail(line: Column) -> Column:
+    """The last four characters of a line, if they tell lines with different keys apart: visible ASCII ones; else null."""
+    own = F.right(line, F.lit(4))
+    return F.when(own.rlike(r"^[!-~]{4}\z"), X.ascii_lower(own))
+
+
+def neighbours_keys(lines: Column, tails: Column) -> Column:
+    """repetition_key of the lines that may be repeats of a neighbour; null for all others, which saves most of the work."""
+    same = lambda a, b: F.coalesce(a == b, F.lit(True))
+    last = F.size(lines) - 1
+    near = lambda i: ((i > 0) & same(F.get(tails, i), F.get(tails, i - 1))) | ((i < last) & same(F.get(tails, i), F.get(tails, i + 1)))
+    return F.transform(lines, lambda x, i: F.when(near(i), repetition_key(x)))
+
+
 def summary_of(first: Column, last: Column, n: Column) -> Column:
     start, end = F.regexp_extract(first, P.TIMESTAMP, 1), F.regexp_extract(last, P.TIMESTAMP, 1)
     plain = X.trim(F.regexp_replace(X.trim(F.regexp_replace(first, P.TIMESTAMP, "")), P.LEVEL, ""))
@@ -156,7 +181,8 @@ def summary_of(first: Column, last: Column, n: Column) -> Column:
 
 def collapse_repeats(df: DataFrame) -> DataFrame:
     """A run of adjacent lines with the same key becomes one line that says how often."""
-    df = df.withColumn("__lines", X.lines(F.col("content"))).withColumn("__key", F.transform("__lines", repetition_key))
+    df = df.withColumn("__lines", X.lines(F.col("content"))).withColumn("__tail", F.transform("__lines", tail))
+    df = df.withColumn("__key", neighbours_keys(F.col("__lines"), F.col("__tail"))).drop("__tail")
     n = F.size("__lines")
     start = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | ~F.coalesce(F.get("__key", i - 1) == F.get("__key", i - 2), F.lit(False)))
     df = df.withColumn("__start", start)
@@ -186,13 +212,22 @@ def drop_decoration(df: DataFrame) -> DataFrame:
     return drop_lines(df, is_decoration, "other", "aggressive low-signal formatting", None)
 
 
+def may_hold_secret(k: int, content: Column) -> Column:
+    """A test without patterns that lets every text through in which secret pattern k matches."""
+    low = F.lower(content)
+    some = X.any_of(content, P.SECRET_SIGNS[k]) if k in P.SECRET_SIGNS_CASED else X.any_of(low, P.SECRET_SIGNS[k])
+    return some & X.any_of(content, P.SECRET_JOINS[k]) if P.SECRET_JOINS[k] else some
+
+
 def redact(df: DataFrame) -> DataFrame:
-    """Replace secrets; the patterns apply to the whole text, in order."""
+    """Replace secrets; the patterns apply to the whole text, in order, and only to texts that may hold such a secret."""
     counts = []
     for k, pattern in enumerate(P.SECRETS):
-        df = df.withColumn(f"__n{k}", F.regexp_count("content", F.lit(pattern))).withColumn("content", F.regexp_replace("content", pattern, P.REDACTED))
+        df = df.withColumn("__may", may_hold_secret(k, F.col("content")))
+        df = df.withColumn(f"__n{k}", F.when(F.col("__may"), F.regexp_count("content", F.lit(pattern))).otherwise(0))
+        df = df.withColumn("content", F.when(F.col(f"__n{k}") > 0, F.regexp_replace("content", pattern, P.REDACTED)).otherwise(F.col("content")))
         counts.append(F.col(f"__n{k}"))
-    df = df.withColumn("__redacted", reduce(lambda a, b: a + b, counts).cast("long")).drop(*[f"__n{k}" for k in range(len(P.SECRETS))])
+    df = df.withColumn("__redacted", reduce(lambda a, b: a + b, counts).cast("long")).drop("__may", *[f"__n{k}" for k in range(len(P.SECRETS))])
     df = account(df, "secret", "secret-like values", F.lit(0), F.col("__redacted"), "secret", "secret-like values redacted")
     warning = F.struct(F.lit("secrets_redacted").alias("code"), F.concat(F.lit("redacted "), F.col("__redacted").cast("string"), F.lit(" secret-like value(s)")).alias("message"), F.lit("warning").alias("severity")).cast(WARNING)
     return df.withColumn("warnings", F.when(F.col("__redacted") > 0, F.array(warning)).otherwise(F.array().cast(f"array<{WARNING}>"))).drop("__redacted")

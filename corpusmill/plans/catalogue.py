@@ -10,6 +10,7 @@ from corpusmill.functions import text as X
 from corpusmill.operators import clean as C
 from corpusmill.operators import passes as O
 from corpusmill.operators import render as R
+from corpusmill.plans import cases, recipes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -115,14 +116,20 @@ def stripped(spark, sf_dir) -> DataFrame:
     return O.closed(O.remove_comments(O.remove_furniture(O.remove_executed(pages(spark, sf_dir)))))
 
 
-def summary_sql() -> str:
-    steps, name = [PAGES], "docs"
-    kinds = [(t, P.block(t), "html_execution_block") for t in P.EXECUTED_TAGS] + [(t, P.block(t), "html_boilerplate") for t in P.FURNITURE_TAGS] + [("comments", P.HTML_COMMENT, "html_comment")]
-    for t, p, _ in kinds:
+def stripped_sql() -> str:
+    """CTEs up to ``every``: kind, label, number and tokens of what each pass takes from a page; and ``left``, what is left."""
+    steps, name, union = [PAGES], "docs", []
+    kinds = [(t, P.block(t), "html_execution_block", f"HTML execution/style block: {t}") for t in P.EXECUTED_TAGS]
+    kinds += [(t, P.block(t), "html_boilerplate", f"HTML boilerplate block: {t}") for t in P.FURNITURE_TAGS] + [("comments", P.HTML_COMMENT, "html_comment", "HTML comments")]
+    for t, p, kind, label in kinds:
         steps.append(f"s_{t} AS (SELECT id, regexp_extract_all(content, '{p}') AS found, regexp_replace(content, '{p}', chr(10), 'g') AS content FROM {name})")
+        union.append(f"SELECT '{kind}' AS kind, '{label}' AS label, len(found) AS n, list_sum(list_transform(found, lambda x: CAST(ceil(length(x) / 4.0) AS BIGINT))) AS t FROM s_{t}")
         name = f"s_{t}"
-    every = " UNION ALL ".join(f"SELECT '{k}' AS kind, len(found) AS n, list_sum(list_transform(found, lambda x: CAST(ceil(length(x) / 4.0) AS BIGINT))) AS t FROM s_{t}" for t, _, k in kinds)
-    return f"WITH {', '.join(steps)} SELECT kind, CAST(sum(n) AS BIGINT) AS n_sections, CAST(coalesce(sum(t), 0) AS BIGINT) AS tokens_removed FROM ({every}) WHERE n > 0 GROUP BY kind"
+    return f"WITH {', '.join(steps)}, every AS ({' UNION ALL '.join(union)})"
+
+
+def summary_sql() -> str:
+    return stripped_sql() + " SELECT kind, CAST(sum(n) AS BIGINT) AS n_sections, CAST(coalesce(sum(t), 0) AS BIGINT) AS tokens_removed FROM every WHERE n > 0 GROUP BY kind"
 
 
 @entry("removed_section_summary", summary_sql())
@@ -131,7 +138,11 @@ def removed_section_summary(spark, sf_dir):
     return s.groupBy("s.kind").agg(F.sum("s.count").alias("n_sections"), F.sum("s.tokens_removed").alias("tokens_removed"))
 
 
-@entry("biggest_noise_sources")
+NOISE_SQL = stripped_sql() + """ SELECT 'html_boilerplate' AS kind, label, CAST(sum(t) AS BIGINT) AS tokens_removed
+FROM every WHERE n > 0 GROUP BY label ORDER BY 3 DESC, 2 LIMIT 5"""
+
+
+@entry("biggest_noise_sources", NOISE_SQL)
 def biggest_noise_sources(spark, sf_dir):
     s = stripped(spark, sf_dir).select(F.explode_outer("noise_sources").alias("s")).filter("s.kind IS NOT NULL").groupBy("s.kind", "s.label").agg(F.sum("s.tokens_removed").alias("tokens_removed"))
     return s.orderBy(F.desc("tokens_removed"), "label").limit(5)  # the report lists the five biggest
@@ -258,7 +269,13 @@ def redact_secrets_pages(spark, sf_dir):
     return digest(O.redact(pages(spark, sf_dir)))
 
 
-@entry("compression_metrics")
+METRICS_SQL = stripped_sql() + """, counted AS (
+  SELECT id, CAST(ceil(length(d.content) / 4.0) AS BIGINT) AS a, CAST(ceil(length(s.content) / 4.0) AS BIGINT) AS b FROM docs d JOIN s_svg s USING (id))
+SELECT id, a AS input_tokens, b AS output_tokens, a - b AS tokens_saved, CASE WHEN a = 0 THEN 0.0 ELSE CAST(b AS DOUBLE) / a END AS compression_ratio,
+  CASE WHEN a = 0 THEN 0.0 ELSE greatest(0.0, 1.0 - CAST(b AS DOUBLE) / a) * 100.0 END AS reduction_percent FROM counted"""
+
+
+@entry("compression_metrics", METRICS_SQL)
 def compression_metrics(spark, sf_dir):
     df = pages(spark, sf_dir).withColumn("before", X.estimate(F.col("content")))
     df = O.remove_furniture(O.remove_executed(df))
@@ -300,14 +317,29 @@ def clean_query(**options):
 
 for _mode in C.MODES:
     entry(f"clean_pages_{_mode}")(clean_query(mode=_mode))
+entry("clean_pages_budget")(clean_query(max_tokens=200))
 
 
-def render_query(fmt: str):
-    return lambda spark, sf_dir: R.render(cleaned(spark, sf_dir), fmt).select("page_id", "rendered")
+def render_query(fmt: str, limit: int | None = None):
+    return lambda spark, sf_dir: R.render(cleaned(spark, sf_dir, max_tokens=limit), fmt, limit).select("page_id", "rendered")
 
 
 for _fmt in C.FORMATS:
     entry(f"render_{_fmt}")(render_query(_fmt))
+entry("render_capped")(render_query("markdown", 200))
+
+
+def report_query(fmt: str):
+    return lambda spark, sf_dir: R.render_report(C.report(cleaned(spark, sf_dir)), fmt).select("page_id", "rendered")
+
+
+for _fmt in C.FORMATS:
+    entry(f"report_{_fmt}")(report_query(_fmt))
+
+for _name, (_query, _sql) in cases.QUERIES.items():
+    entry(_name, _sql)(_query)
+entry("recipes_checks", recipes.checks_sql())(recipes.checks)
+entry("recipes_reductions")(recipes.reductions)
 
 
 @entry("clean_report")

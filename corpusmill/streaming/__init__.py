@@ -1,0 +1 @@
+"""Cleaning documents as they arrive."""
