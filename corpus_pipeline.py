@@ -37,8 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark passages cut out; n_chars follows the text."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    out = decontaminate.remove_hits(found)
+    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), cut=True)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -59,11 +58,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder, in whatever store it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``."""
+    """All stages over the table ``documents``; what a stage has written is deleted once the next one has read it."""
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            delete(spark, last)
+        last = f"{folder}/{name}"
     return docs

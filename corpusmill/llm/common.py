@@ -96,13 +96,13 @@ def unused(df: DataFrame, *stems: str) -> list[str]:
 HOT_KEYS = 1000
 
 
-def join_by_key(rows: DataFrame, known: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """``rows`` joined with ``known``, which has one row for each key and in ``n`` how many rows the key has.
+def join_by_key(rows: DataFrame, known: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) joined with ``known``, which has one row for each key and in ``n`` how many rows it has.
 
     A key with more than a thousandth of all rows would keep one task busy; of such keys there are a thousand at most, so
-    they are broadcast. All others are joined by shuffle. Both inputs should be checkpointed: they are read twice.
+    they are broadcast. All others are joined by shuffle. ``rows`` is read twice and should be checkpointed; what makes
+    ``known`` is shuffled once and used again.
     """
-    total = known.agg(F.sum(n)).first()[0] or 0
     hot = known.filter(F.col(n) * HOT_KEYS > total).drop(n)
     often = rows.join(F.broadcast(hot), keys)
     seldom = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
@@ -161,6 +161,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
 
 
+#: Documents, or rows made of so many documents, of one file of a checkpoint.
+FILE_ROWS = 20_000
+
+
+def few_files(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """``df`` in no more partitions than so many rows are worth, though one for each core.
+
+    Every file of a checkpoint has its cost, however small it is: a request to a store, or for Spark's local file system a
+    process that is started to set its permissions.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism if each == FILE_ROWS else 1, 1 + rows // each))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder, so that results survive lost executors.
 

@@ -233,9 +233,12 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType(), False), T
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None,
+    window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None, cut: bool = False,
 ) -> DataFrame:
-    """``docs`` with n_words, hit_spans (word positions, merged) and hit_items (ids as text, sorted)."""
+    """``docs`` with n_words, hit_spans (word positions, merged) and hit_items (ids as text, sorted).
+
+    ``cut``: hit words are also cut out of the text, in the last pass; n_words and hit_spans are those of the old one.
+    """
     new = ("n_words", "hit_spans", "hit_items")
     keep = beside(docs.columns if keep is None else keep, new)
     was_spans, was_items = unused(docs, "__was_spans", "__was_items")
@@ -244,20 +247,27 @@ def decontaminate(
         T.StructField("hit_spans", SPANS, False),
         T.StructField("hit_items", T.ArrayType(T.StringType(), False), False),
     ]
+    made_text = T.StructField(text, T.StringType())
     out, first = docs, True
-    for block in blocks(benchmark, item_id, item_text, block_bytes, window):
+    every = blocks(benchmark, item_id, item_text, block_bytes, window)
+    block, later = next(every), next(every, None)
+    while block is not None:
         shared = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
+        cutting = cut and later is None
 
-        def rows(shared=shared, first=first):
+        def rows(shared=shared, first=first, cutting=cutting):
             def each(batch: pa.RecordBatch):
                 column = lambda c: batch.column(batch.schema.get_field_index(c))
-                counts, spans, items = find(shared.value, as_bytes(column(text)))
+                texts = as_bytes(column(text))
+                counts, spans, items = find(shared.value, texts)
                 if not first:
                     for s, i, had, ids in zip(spans, items, column(was_spans).to_pylist(), column(was_items).to_pylist(), strict=True):
                         s[:] = merged([*s, *((x["start"], x["end"]) for x in had)])
                         i.update(ids)
                 made = [[{"start": a, "end": b} for a, b in s] for s in spans]
+                left = [pa.array([without(t, s) if s else t for t, s in zip(texts, spans, strict=True)], pa.binary()).cast(pa.string())] if cutting else []
                 return [
+                    *left,
                     pa.array(counts, pa.int64()),
                     pa.array(made, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array([sorted(i) for i in items], pa.list_(pa.string())),
@@ -267,8 +277,9 @@ def decontaminate(
 
         if not first:  # also ends the earlier pass, whose workers let its block go
             out = checkpoint(out).withColumnsRenamed({"hit_spans": was_spans, "hit_items": was_items})
-        out = append_columns(out, fields, rows, keep=list(dict.fromkeys([*keep, text])), inputs=[text] if first else [text, was_spans, was_items])
-        first = False
+        stay = [c for c in dict.fromkeys([*keep, text]) if not (cutting and c == text)]
+        out = append_columns(out, [*([made_text] if cutting else []), *fields], rows, keep=stay, inputs=[text] if first else [text, was_spans, was_items])
+        block, later, first = later, next(every, None) if later is not None else None, False
     return out.select(*map(named, keep), *new)
 
 
@@ -282,23 +293,6 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def remove_hits(found: DataFrame, text: str = "text", spans: str = "hit_spans") -> DataFrame:
-    """Columns of ``found``, hit words cut out of the text; texts without hits stay as they are, rows all stay."""
-    kind = T.StructField(text, T.StringType())
-
-    def rows():
-        def each(batch: pa.RecordBatch):
-            texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
-            cuts = batch.column(batch.schema.get_field_index(spans)).to_pylist()
-            out = [without(t, [(s["start"], s["end"]) for s in c]) if t and c else t for t, c in zip(texts, cuts, strict=True)]
-            return [pa.array(out, pa.binary()).cast(pa.string())]
-
-        return each
-
-    made = append_columns(found, [kind], rows, inputs=[text, spans])
-    return made.select(*map(named, found.columns))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])

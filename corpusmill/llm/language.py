@@ -24,6 +24,8 @@ from corpusmill.llm.common import append_columns, checkpoint, crc_bucket, named,
 BUCKETS = 4096
 #: The classifier is fitted on about so many labelled rows of each language at most.
 SAMPLE = 1000
+#: Partitions of that sample.
+FILES = 24
 CLUSTERS = 4
 #: The share of a language's sample whose cosine lies below its rejection distance.
 REJECTED = 0.002
@@ -128,7 +130,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
         return each
 
     kind = T.ArrayType(T.IntegerType(), False)
-    got = checkpoint(append_columns(chosen, [T.StructField("at", kind), T.StructField("n", kind)], each_task, keep=["lang"], inputs=["text"]).filter(F.size("at") > 0))
+    got = checkpoint(append_columns(chosen, [T.StructField("at", kind), T.StructField("n", kind)], each_task, keep=["lang"], inputs=["text"]).filter(F.size("at") > 0).coalesce(FILES))
     rows = got.count()
     if not rows:
         return None

@@ -13,7 +13,7 @@ lines of later runs are deleted, and blank ones between them.
 4. Matches of one document with one other on the same diagonal that touch are joined into runs, and runs are deleted.
 
 Extensions are hashes and not pairs of positions, so a line that stands in a third of all documents makes as many rows as
-it has places; a key with more than a thousandth of all rows is joined by broadcast.
+it has places; a match with more than a thousandth of all rows is joined by broadcast.
 
 Null texts stay null and have no lines; texts without words stay as they are. Rows with the same id and text are one
 document (each such row gets the same result); with the same id and another text, the text's hash decides which is
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import beside, checkpoint, join_by_key, named, table, unused
+from corpusmill.llm.common import beside, checkpoint, few_files, join_by_key, named, table, unused
 
 RUN_WORDS = 50
 
@@ -82,19 +82,20 @@ def matches(docs: DataFrame, text: str, row_id: str, run_words: int) -> DataFram
     lined = keyed.select("id", "key", hashed_lines(F.col("text")).alias("lines"))
     # The array of lines is a column of its own, made once, before the windows are taken from it. No filter on the windows
     # stands here: it would be pushed below and make them again for every row, from lines that are made for every use.
-    spots = checkpoint(lined.select("id", "key", windows(F.col("lines"), run_words).alias("spots")))
+    n = docs.count()
+    spots = checkpoint(few_files(lined.select("id", "key", windows(F.col("lines"), run_words).alias("spots")), n))
     selected = F.array_distinct(F.transform("spots", lambda s: F.struct(s["fingerprint"].alias("fingerprint"), s["at"].alias("at"))))
     positions = spots.select("id", "key", F.explode(selected).alias("s")).select("s.fingerprint", F.struct("id", "key", "s.at").alias("here"))
     # Fingerprints of more than one position: the least and the greatest differ.
-    ends = positions.groupBy("fingerprint").agg(F.min("here").alias("lo"), F.max("here").alias("hi"), F.count("*").alias("n"))
-    several = checkpoint(ends.filter(~F.col("lo").eqNullSafe(F.col("hi"))).select("fingerprint", "n"))
+    ends = positions.groupBy("fingerprint").agg(F.min("here").alias("lo"), F.max("here").alias("hi"))
+    several = ends.filter(~F.col("lo").eqNullSafe(F.col("hi"))).select("fingerprint")
     each = spots.select("id", "key", F.explode("spots").alias("s")).select("id", "key", "s.*")
-    near = checkpoint(join_by_key(each, several, ["fingerprint"], "n"))
+    near = checkpoint(few_files(each.join(several, "fingerprint", "left_semi"), n))
     sides = ["fingerprint", "left", "right"]
     start = F.struct("id", "key", "start")
     firsts = near.groupBy(*sides).agg(F.min(start).alias("first"), F.max(start).alias("last"), F.count("*").alias("n"))
-    firsts = checkpoint(firsts.filter(~F.col("first").eqNullSafe(F.col("last"))).select(*sides, "first", "n"))
-    return join_by_key(near, firsts, sides, "n").filter(~start.eqNullSafe(F.col("first"))).select("id", "key", "start", "stop", "first")
+    firsts = firsts.filter(~F.col("first").eqNullSafe(F.col("last"))).select(*sides, "first", "n")
+    return join_by_key(near, firsts, sides, "n", near.count()).filter(~start.eqNullSafe(F.col("first"))).select("id", "key", "start", "stop", "first")
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", row_id: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:

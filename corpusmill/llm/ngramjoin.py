@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import checkpoint, named, settled, table, unused, words
+from corpusmill.llm.common import checkpoint, few_files, named, settled, table, unused, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -49,6 +49,8 @@ BLOCK = 1024
 PAIRS = 250_000
 #: Shingles of a pair of blocks that are counted at a time.
 TOGETHER = 500_000
+#: Edges of one file of a checkpoint.
+EDGES = 400_000
 #: Up to so many digests (16 bytes each) are broadcast to pick the texts to verify; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 _RNG = np.random.default_rng(20240229)
@@ -203,7 +205,8 @@ def classes_of(docs: DataFrame, text: str, row_id: str) -> DataFrame:
 def candidates(classes: DataFrame) -> DataFrame:
     """Members of buckets with two classes or more, dealt to pairs of blocks: bucket, lo, hi, block, k, n, size, sig."""
     key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.shiftleft(F.xxhash64(F.substring("sig", b * (4 * ROWS) + 1, F.lit(4 * ROWS)), b), 6).bitwiseOR(b.cast("long")))
-    each = classes.filter(F.col("sig").isNotNull()).select("k", F.explode(key).alias("bucket"))
+    # Shuffled once: the members of a bucket are counted and dealt where they are.
+    each = classes.filter(F.col("sig").isNotNull()).select("k", F.explode(key).alias("bucket")).repartition("bucket")
     full = each.groupBy("bucket").agg(F.count("*").alias("members"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("xor")).filter("members > 1")
     # A pair's first shared band is never left out here: an equal bucket before it would hold the pair too.
     alike = F.struct(F.col("bucket").bitwiseAND(63).alias("band"), "bucket")
@@ -349,9 +352,12 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     return source.mapInArrow(settled(run), "k binary, shingles binary").groupBy("k").agg(F.first("shingles").alias("shingles"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Node v and the least node m of its component, by alternating large and small stars; nodes without edges are absent."""
-    edges = checkpoint(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+def components(edges: DataFrame, rows: int) -> DataFrame:
+    """Node v and the least node m of its component, by alternating large and small stars; nodes without edges are absent.
+
+    There are at most ``rows`` edges, and never more than that later: a star's edges are as many as its nodes.
+    """
+    edges = checkpoint(few_files(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows, EDGES))
     while True:
         ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("top")).union(edges.select("v", F.lit(0), F.lit(1)))
         if not ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("top").alias("top")).filter("up > 1 OR up = 1 AND top = 1").limit(1).count():
@@ -361,17 +367,20 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = checkpoint(small.filter("u != v").distinct())
+        edges = checkpoint(few_files(small.filter("u != v").distinct(), rows, EDGES))
 
 
-def known_classes(docs: DataFrame, text: str, row_id: str, threshold: float) -> DataFrame:
-    """For each distinct text (digest k): its class's digest, least id and that id's text, and the counts of its rows."""
-    classes = checkpoint(classes_of(docs, text, row_id))
-    left = checkpoint(possible(candidates(classes), threshold))
+def known_classes(docs: DataFrame, text: str, row_id: str, threshold: float, n: int) -> DataFrame:
+    """For each distinct text (digest k): its class's digest, least id and that id's text, and the counts of its rows.
+
+    ``n``: rows of ``docs``, for the number of files that are written on the way.
+    """
+    classes = checkpoint(few_files(classes_of(docs, text, row_id), n))
+    left = checkpoint(few_files(possible(candidates(classes), threshold), n))
     sets = shingle_sets(docs, left.select("k").distinct(), text)
-    links = checkpoint(verified(left.join(sets, "k"), threshold))
+    links = checkpoint(few_files(verified(left.join(sets, "k"), threshold), n))
     counts = links.groupBy("k").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
-    member = components(links.select(F.col("k").alias("u"), F.col("root").alias("v")))
+    member = components(links.select(F.col("k").alias("u"), F.col("root").alias("v")), links.count())
     member = member.unionByName(member.select(F.col("m").alias("v"), "m").distinct())
     grouped = member.join(classes.select(F.col("k").alias("v"), "least"), "v")
     first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("v").alias("k")))
@@ -390,7 +399,7 @@ def known_classes(docs: DataFrame, text: str, row_id: str, threshold: float) ->
 
 def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: its id, class_id, n_links, n_linked_texts and n_copies."""
-    known = known_classes(docs, text, row_id, threshold).drop("class_text", "class", "size")
+    known = known_classes(docs, text, row_id, threshold, docs.count()).drop("class_text", "class", "size")
     each = docs.select(named(row_id).alias("__row"), F.unhex(F.md5(named(text))).alias("k"))
     zero = lambda c, v: F.coalesce(F.col(c), F.lit(v)).cast("long").alias(c)
     out = each.join(known, "k", "left")
@@ -404,13 +413,15 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc
     stays too. Of rows with the same id and text any one stays. Null texts and texts without words all stay.
     """
     own_k, own_class, own_id, own_text = unused(docs, "__k", "__class", "__class_id", "__class_text")
-    known = known_classes(docs, text, row_id, threshold).filter("size > 0 AND (n_copies > 1 OR n_linked_texts > 0)")
-    shared = checkpoint(known.select(F.col("k").alias(own_k), F.col("class").alias(own_class), F.col("class_id").alias(own_id), F.col("class_text").alias(own_text)))
-    side = F.broadcast(shared) if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else shared.hint("shuffle_hash")
+    n, most = docs.groupBy(named(row_id)).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    known = known_classes(docs, text, row_id, threshold, n).filter("size > 0 AND (n_copies > 1 OR n_linked_texts > 0)")
+    shared = known.select(F.col("k").alias(own_k), F.col("class").alias(own_class), F.col("class_id").alias(own_id), F.col("class_text").alias(own_text))
+    shared = checkpoint(few_files(shared, n, EDGES))
+    side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared.hint("shuffle_hash")
     keyed = docs.withColumn(own_k, F.unhex(F.md5(named(text)))).join(side, own_k, "left")
     first = named(row_id).eqNullSafe(F.col(own_id)) & (F.col(own_k) == F.col(own_text))
     kept = keyed.filter(F.col(own_class).isNull() | first)
-    if docs.groupBy(named(row_id)).count().filter("count > 1").limit(1).count():  # rows that share an id, or have none
+    if most > 1:  # rows that share an id, or have none
         kept = kept.filter(F.col(own_class).isNull()).unionByName(kept.filter(F.col(own_class).isNotNull()).dropDuplicates([own_class]))
     return kept.select(*map(named, docs.columns))
 

@@ -30,6 +30,8 @@ from corpusmill.llm.common import append_columns, as_bytes, checkpoint, crc_buck
 
 #: The model is fitted on about so many labelled rows at most; its lexicon is bounded by the words of so many texts.
 SAMPLE = 20_000
+#: Partitions of that sample.
+FILES = 12
 #: Texts that the prior of a word or a beginning counts for.
 PRIOR_TEXTS = 20.0
 #: Standard errors by which scores move towards 0.
@@ -191,7 +193,7 @@ def shares(counts: DataFrame, overall: float) -> DataFrame:
         if levels:
             above = levels[-1].select(F.col("start").alias("above"), F.col("share").alias("prior"))
             level, prior = level.join(above, F.substring("start", 1, k - 1) == F.col("above")), F.col("prior")
-        levels.append(checkpoint(level.select("start", texts, smooth(prior).alias("share"))))
+        levels.append(level.select("start", texts, smooth(prior).alias("share")))
     begun = reduce(DataFrame.unionByName, levels)
     above = begun.select(F.col("start").alias("above"), F.col("share").alias("prior"))
     longest = F.substring("word", F.lit(1), F.least(F.lit(max(BEGINNINGS)), F.length("word") - 1))
@@ -230,9 +232,9 @@ def drift_for(counts: DataFrame, lexicon: dict[bytes, float]) -> float:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", row_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model | None:
     """Lexicon, extreme-value law and calibration from a bounded sample of the labelled rows that ``learn`` allows."""
     chosen = sampled(labels, learn, row_id, label, sample)
-    # The sample is bounded by its parameter, so its ids may be broadcast.
-    rows = checkpoint(docs.select(named(row_id).alias("__id"), named(text).alias("__text")).join(F.broadcast(chosen), "__id").select("__text", "__label"))
-    counts = checkpoint(word_counts(rows))
+    # The sample is bounded by its parameter, so its ids may be broadcast, and its texts and their words take few files.
+    rows = checkpoint(docs.select(named(row_id).alias("__id"), named(text).alias("__text")).join(F.broadcast(chosen), "__id").select("__text", "__label").repartition(FILES))
+    counts = checkpoint(word_counts(rows).coalesce(FILES))
     toxic, clean = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     if not toxic or not clean:
         return None
