@@ -8,7 +8,8 @@ Fragments are short and repeat, so their ids are kept; texts are never searched
 Results equal those of the tokenizers library for the same file with ``add_special_tokens=False``.
 
 Null and empty texts give no ids and decode to the empty text. Texts of any length are handled in one linear pass;
-repeated rows and ties have no influence. Other columns of the input are dropped, so clashing names do no harm.
+repeated rows and ties have no influence. Columns that are not asked to be kept are dropped; a kept one named like a
+result gives way to it.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import append_columns, beside, checkpoint, table
+from corpusmill.llm.common import append_columns, beside, checkpoint, few_files, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -33,7 +33,8 @@ RULES = (
     ("symbols", lambda f: f["symbol_rate"] > 0.02, lambda f: f["symbol_rate"] < 0.005),
     ("repeated_words", lambda f: f["repeat_rate"] > 0.35, lambda f: f["repeat_rate"] < 0.1),
     ("repeated_lines", lambda f: f["dup_rate"] > 0.5, lambda f: f["dup_rate"] < 0.2),
-    ("stop_words", lambda f: f["stop_rate"] < 0.03, lambda f: f["stop_rate"] > 0.08),
+    # Stop words of a few languages only: their absence tells nothing about texts in others.
+    ("stop_words", lambda f: np.zeros(len(f["stop_rate"]), dtype=bool), lambda f: f["stop_rate"] > 0.08),
     ("sentences", lambda f: f["stop_marks"] < 0.02, lambda f: (f["stop_marks"] > 0.04) & (f["stop_marks"] < 0.3)),
     ("variety", lambda f: f["variety"] < 1.0, lambda f: f["variety"] > 1.4),
 )
@@ -133,7 +134,7 @@ def estimate(pattern: np.ndarray, count: np.ndarray, prior: float = 0.8, rounds:
 def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """``docs`` with COUNTS, base_failed, quality (posterior probability) and kept."""
     keep = beside(docs.columns if keep is None else keep, ("quality", "kept"))
-    found = checkpoint(measured(docs, text, keep))
+    found = checkpoint(few_files(measured(docs, text, keep), docs.count()))
     patterns = found.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3 ** rules rows
     if patterns:
         pattern = np.array([r["votes"] for r in patterns])
