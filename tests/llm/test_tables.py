@@ -45,7 +45,7 @@ def operators(spark, docs, benchmark):
     yield "language", lambda d: language.identify(d, language.fit(d, F.lit(True)))
     yield "lines", linededup.dedup_lines
     yield "spans", spandedup.dedup_spans
-    yield "clean", lambda d: decontaminate.remove_hits(decontaminate.decontaminate(d, benchmark))
+    yield "clean", lambda d: decontaminate.decontaminate(d, benchmark, cut=True)
     yield "join", ngramjoin.near_duplicates
     yield "thin", ngramjoin.drop_near_duplicates
     yield "secrets", lambda d: secrets.scan(d, [0.7])
@@ -114,6 +114,8 @@ def test_decontamination_in_blocks_equals_one_pass(docs, benchmark):
     got = {r["doc_id"]: r for r in one}
     assert got[3]["hit_items"] == ["1"] and got[8]["hit_items"] == ["2"] and got[4]["n_words"] == 0
     assert sum(s["end"] - s["start"] for s in got[3]["hit_spans"]) == 15
+    cut = {k: {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, benchmark, cut=True, **k_).collect()} for k, k_ in (("one", {}), ("many", {"block_bytes": 1}))}
+    assert cut["one"] == cut["many"] and cut["one"][8] == "" and cut["one"][4] is None and "passage19  passage35" in cut["one"][3].replace("\n", " ") and "passage20 " not in cut["one"][3]
 
 
 def test_secret_values(spark):
