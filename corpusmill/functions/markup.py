@@ -11,7 +11,7 @@ from corpusmill.functions import patterns as P
 HINT = re.compile(P.HTML_HINT)
 TAG = re.compile(r"(?is)</?([a-z][a-z0-9:-]*)(?:\s+[^<>]*)?/?>")
 NOISE_OPEN = {t: re.compile(rf"(?is)<{t}\b[^>]*{P.NOISE_ATTRIBUTE}[^>]*>") for t in P.NOISE_TAGS}
-IFRAME, AGGRESSIVE, UNCLOSED = re.compile(P.NOISE_IFRAME), re.compile(P.AGGRESSIVE_BLOCK), re.compile(P.UNCLOSED_END)
+UNCLOSED = re.compile(P.UNCLOSED_END)
 PRE = re.compile(r"(?is)<pre\b[^>]*>(.*?)</pre>")
 CODE = re.compile(r"(?is)<code\b[^>]*>(.*?)</code>")
 CODE_TAGS = re.compile(r"(?is)</?code\b[^>]*>")
@@ -41,16 +41,14 @@ def tokens(text: str) -> int:
     return math.ceil(len(text) / 4)
 
 
-def noise_blocks(text: str, aggressive: bool) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text without noise blocks; and for each kind removed its label, tokens and number."""
-    if not HINT.search(text):
-        return text, []
-    gone: list[tuple[str, int, int]] = []
-
-    def note(label: str, found: list[str]) -> None:
-        if found:
-            gone.append((label, sum(map(tokens, found)), len(found)))
+def noise_blocks(text: str) -> tuple[str, list[tuple[str, int, int]]]:
+    """A page without elements whose attributes name noise; and for each tag removed a label, tokens and number.
 
+    An element ends where its tags are balanced, which patterns can't tell; noise that patterns find is none of this.
+    """
+    gone: list[tuple[str, int, int]] = []
+    if not HINT.search(text):
+        return text, gone
     for tag, opening in NOISE_OPEN.items():
         out, found, at = [], [], 0
         while m := opening.search(text, at):
@@ -58,11 +56,9 @@ def noise_blocks(text: str, aggressive: bool) -> tuple[str, list[tuple[str, int,
             out += [text[at : m.start()], "\n"]
             found.append(text[m.start() : end])
             at = end
-        note(f"HTML boilerplate block: {tag} noise", found)
-        text = "".join([*out, text[at:]])
-    for label, pattern in (("HTML boilerplate block: iframe noise", IFRAME), *([("aggressive promotional/tracking HTML blocks", AGGRESSIVE)] if aggressive else [])):
-        note(label, [m.group() for m in pattern.finditer(text)])
-        text = pattern.sub("\n", text)
+        if found:
+            gone.append((f"HTML boilerplate block: {tag} noise", sum(map(tokens, found)), len(found)))
+            text = "".join([*out, text[at:]])
     return text, gone
 
 

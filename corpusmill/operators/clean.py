@@ -64,16 +64,10 @@ def count_tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.fillna("").map(tokens.count)
 
 
-GONE = "array<struct<label:string,tokens:bigint,count:bigint>>"
-
-
-def noise_blocks_udf(aggressive: bool):
-    @F.pandas_udf(f"content string, gone {GONE}")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        made = [markup.noise_blocks(t or "", aggressive) for t in texts]
-        return pd.DataFrame({"content": [m[0] for m in made], "gone": [[{"label": a, "tokens": b, "count": c} for a, b, c in m[1]] for m in made]})
-
-    return run
+@F.pandas_udf(T.StructType([T.StructField("content", T.StringType()), T.StructField("gone", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("tokens", T.LongType()), T.StructField("count", T.LongType())])))]))
+def noise_blocks(texts: pd.Series) -> pd.DataFrame:
+    made = [markup.noise_blocks(t or "") for t in texts]
+    return pd.DataFrame({"content": [m[0] for m in made], "gone": [[{"label": a, "tokens": b, "count": c} for a, b, c in m[1]] for m in made]})
 
 
 def markdown_udf(mode: str):
@@ -96,9 +90,14 @@ def pack_udf(limit: int | None):
 
 
 def remove_noise_blocks(df: DataFrame, aggressive: bool) -> DataFrame:
-    df = df.withColumn("__made", noise_blocks_udf(aggressive)("content"))
+    """Elements named like noise, frames of trackers and, if asked, promoted blocks; only in what looks like a page."""
+    df = df.withColumn("__page", F.col("content").rlike(P.HTML_HINT)).withColumn("__made", noise_blocks("content"))
     entry = F.transform("__made.gone", lambda g: F.struct(F.lit("html_boilerplate").alias("kind"), g["label"].alias("label"), g["tokens"].alias("tokens_removed"), g["count"].alias("count"), F.lit("html_boilerplate").alias("noise"), g["label"].alias("noise_label")))
-    return O.add_entries(df, entry).withColumn("content", F.col("__made.content")).drop("__made")
+    df = O.add_entries(df, entry).withColumn("content", F.col("__made.content")).drop("__made")
+    df = O.remove_pattern(df, P.NOISE_IFRAME, "html_boilerplate", "HTML boilerplate block: iframe noise", F.col("__page"))
+    if aggressive:
+        df = O.remove_pattern(df, P.AGGRESSIVE_BLOCK, "html_boilerplate", "aggressive promotional/tracking HTML blocks", F.col("__page"))
+    return df.drop("__page")
 
 
 def pack(df: DataFrame, options: CleanOptions) -> DataFrame:

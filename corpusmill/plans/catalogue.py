@@ -148,15 +148,30 @@ def biggest_noise_sources(spark, sf_dir):
     return s.orderBy(F.desc("tokens_removed"), "label").limit(5)  # the report lists the five biggest
 
 
-def lines_sql(source: str, name: str, gone: str) -> str:
+SPLIT = "l_{to} AS (SELECT id, generate_subscripts(string_split(regexp_replace(content, '\\n\\z', ''), chr(10)), 1) AS k, unnest(string_split(regexp_replace(content, '\\n\\z', ''), chr(10))) AS line FROM {name})"
+TOKENS = "CAST(ceil(length(line) / 4.0) AS BIGINT)"
+
+
+def lines_step(name: str, to: str, gone: str) -> str:
+    """CTEs from texts ``name`` to ``to``: what is left of each, and lines and tokens that are gone."""
     return (
-        f"WITH {source}, l AS (SELECT id, generate_subscripts(string_split(regexp_replace(content, '\\n\\z', ''), chr(10)), 1) AS k, unnest(string_split(regexp_replace(content, '\\n\\z', ''), chr(10))) AS line FROM {name}), "
-        f"m AS (SELECT *, ({gone}) AS gone FROM l) "
-        f"SELECT id, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed, CAST(coalesce(sum(CAST(ceil(length(line) / 4.0) AS BIGINT)) FILTER (gone), 0) AS BIGINT) AS tokens_removed, "
-        f"md5(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS md5 FROM m GROUP BY id"
+        f"{SPLIT.format(name=name, to=to)}, m_{to} AS (SELECT *, ({gone}) AS gone FROM l_{to}), "
+        f"{to} AS (SELECT id, count(*) FILTER (gone) AS n, coalesce(sum({TOKENS}) FILTER (gone), 0) AS t, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS content FROM m_{to} GROUP BY id)"
     )
 
 
+def digest_sql(source: str, *steps: tuple[str, str]) -> str:
+    """The rows of ``digest`` after steps, each a name and its CTEs."""
+    names = [name for name, _ in steps]
+    total = lambda f: f"CAST({' + '.join(f'{n}.{f}' for n in names)} AS BIGINT)"
+    joined = names[0] + "".join(f" JOIN {n} USING (id)" for n in names[1:])
+    return f"WITH {', '.join([source, *(s for _, s in steps)])} SELECT id, {total('n')} AS n_removed, {total('t')} AS tokens_removed, md5({names[-1]}.content) AS md5 FROM {joined}"
+
+
+def lines_sql(source: str, name: str, gone: str) -> str:
+    return digest_sql(source, ("a", lines_step(name, "a", gone)))
+
+
 def boilerplate_sql(aggressive: bool) -> str:
     equal = P.BOILERPLATE_EQUAL + (P.AGGRESSIVE_EQUAL if aggressive else ())
     part = P.BOILERPLATE_PART + (P.AGGRESSIVE_PART if aggressive else ())
@@ -203,22 +218,23 @@ def install_noise_aggressive(spark, sf_dir):
     return digest(O.remove_install_noise(logs(spark, sf_dir), True))
 
 
-SPLIT = "l AS (SELECT id, generate_subscripts(string_split(regexp_replace(content, '\\n\\z', ''), chr(10)), 1) AS k, unnest(string_split(regexp_replace(content, '\\n\\z', ''), chr(10))) AS line FROM {name})"
-
-
-def repeats_sql(source: str, name: str) -> str:
+def repeats_step(name: str, to: str) -> str:
     stamp = P.TIMESTAMP
     plain = rf"trim(regexp_replace(regexp_replace(trim(line), '{stamp}', ''), '\s+', ' ', 'g'))"
-    return rf"""WITH {source}, {SPLIT.format(name=name)},
-keyed AS (SELECT *, CASE WHEN {plain} = '' OR starts_with(trim(line), '[Collapsed stack frames:') THEN NULL ELSE translate({plain}, '{X.UPPER}', '{X.LOWER}') END AS key FROM l),
-begun AS (SELECT *, CASE WHEN key = lag(key) OVER (PARTITION BY id ORDER BY k) THEN 0 ELSE 1 END AS fresh FROM keyed),
-grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY k) AS g FROM begun),
-runs AS (SELECT id, g, count(*) AS n, arg_min(line, k) AS first, arg_max(line, k) AS last, sum(CAST(ceil(length(line) / 4.0) AS BIGINT)) - CAST(ceil(length(arg_min(line, k)) / 4.0) AS BIGINT) AS gone FROM grouped GROUP BY id, g),
-told AS (SELECT *, CASE WHEN n = 1 THEN first ELSE '[Repeated ' || CAST(n AS VARCHAR) || ' times' ||
+    return rf"""{SPLIT.format(name=name, to=to)},
+k_{to} AS (SELECT *, CASE WHEN {plain} = '' OR starts_with(trim(line), '[Collapsed stack frames:') THEN NULL ELSE translate({plain}, '{X.UPPER}', '{X.LOWER}') END AS key FROM l_{to}),
+b_{to} AS (SELECT *, CASE WHEN key = lag(key) OVER (PARTITION BY id ORDER BY k) THEN 0 ELSE 1 END AS fresh FROM k_{to}),
+g_{to} AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY k) AS g FROM b_{to}),
+r_{to} AS (SELECT id, g, count(*) AS n, arg_min(line, k) AS first, arg_max(line, k) AS last, sum({TOKENS}) - CAST(ceil(length(arg_min(line, k)) / 4.0) AS BIGINT) AS gone FROM g_{to} GROUP BY id, g),
+t_{to} AS (SELECT *, CASE WHEN n = 1 THEN first ELSE '[Repeated ' || CAST(n AS VARCHAR) || ' times' ||
   CASE WHEN regexp_extract(first, '{stamp}', 1) <> '' AND regexp_extract(last, '{stamp}', 1) <> '' AND regexp_extract(first, '{stamp}', 1) <> regexp_extract(last, '{stamp}', 1)
     THEN ' from ' || regexp_extract(first, '{stamp}', 1) || ' to ' || regexp_extract(last, '{stamp}', 1) ELSE '' END || '] ' ||
-  trim(regexp_replace(regexp_replace(trim(regexp_replace(first, '{stamp}', '')), '{P.LEVEL}', ''), '\s+', ' ', 'g')) END AS line FROM runs)
-SELECT id, CAST(count(*) FILTER (n > 1) AS BIGINT) AS n_removed, CAST(coalesce(sum(gone) FILTER (n > 1), 0) AS BIGINT) AS tokens_removed, md5(string_agg(line, chr(10) ORDER BY g)) AS md5 FROM told GROUP BY id"""
+  trim(regexp_replace(regexp_replace(trim(regexp_replace(first, '{stamp}', '')), '{P.LEVEL}', ''), '\s+', ' ', 'g')) END AS line FROM r_{to}),
+{to} AS (SELECT id, count(*) FILTER (n > 1) AS n, coalesce(sum(gone) FILTER (n > 1), 0) AS t, string_agg(line, chr(10) ORDER BY g) AS content FROM t_{to} GROUP BY id)"""
+
+
+def repeats_sql(source: str, name: str) -> str:
+    return digest_sql(source, ("a", repeats_step(name, "a")))
 
 
 @entry("collapse_repeated_lines", repeats_sql(LOGS, "logs"))
@@ -234,18 +250,19 @@ def collapse_repeated_documents(spark, sf_dir):
 FRAMES = " OR ".join(f"regexp_matches(line, '{p}')" for p in P.FRAMES)
 
 
-@entry(
-    "stack_frame_dedup",
-    rf"""WITH {LOGS}, {SPLIT.format(name='logs')},
-flagged AS (SELECT *, ({FRAMES}) AS frame, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS key FROM l),
-begun AS (SELECT *, CASE WHEN frame = lag(frame) OVER (PARTITION BY id ORDER BY k) THEN 0 ELSE 1 END AS fresh FROM flagged),
-grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY k) AS g FROM begun),
-nth AS (SELECT *, frame AND row_number() OVER (PARTITION BY id, g, key ORDER BY k) > 1 AS gone FROM grouped),
-marks AS (SELECT id, max(k) + 0.5 AS k, '[Collapsed stack frames: ' || CAST(count(*) FILTER (gone) AS VARCHAR) || ' duplicate frames removed]' AS line, count(*) FILTER (gone) AS n FROM nth GROUP BY id, g),
-every AS (SELECT id, CAST(k AS DOUBLE) AS k, line FROM nth WHERE NOT gone UNION ALL SELECT id, k, line FROM marks WHERE n > 0)
-SELECT a.id, CAST(b.n AS BIGINT) AS n_removed, CAST(b.t AS BIGINT) AS tokens_removed, a.md5 FROM (SELECT id, md5(string_agg(line, chr(10) ORDER BY k)) AS md5 FROM every GROUP BY id) a
-JOIN (SELECT id, count(*) FILTER (gone) AS n, coalesce(sum(CAST(ceil(length(line) / 4.0) AS BIGINT)) FILTER (gone), 0) AS t FROM nth GROUP BY id) b USING (id)""",
-)
+def frames_step(name: str, to: str) -> str:
+    return rf"""{SPLIT.format(name=name, to=to)},
+f_{to} AS (SELECT *, ({FRAMES}) AS frame, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS key FROM l_{to}),
+b_{to} AS (SELECT *, CASE WHEN frame = lag(frame) OVER (PARTITION BY id ORDER BY k) THEN 0 ELSE 1 END AS fresh FROM f_{to}),
+g_{to} AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY k) AS g FROM b_{to}),
+n_{to} AS (SELECT *, frame AND row_number() OVER (PARTITION BY id, g, key ORDER BY k) > 1 AS gone FROM g_{to}),
+m_{to} AS (SELECT id, max(k) + 0.5 AS k, '[Collapsed stack frames: ' || CAST(count(*) FILTER (gone) AS VARCHAR) || ' duplicate frames removed]' AS line, count(*) FILTER (gone) AS n FROM n_{to} GROUP BY id, g),
+e_{to} AS (SELECT id, CAST(k AS DOUBLE) AS k, line FROM n_{to} WHERE NOT gone UNION ALL SELECT id, k, line FROM m_{to} WHERE n > 0),
+{to} AS (SELECT id, n, t, content FROM (SELECT id, string_agg(line, chr(10) ORDER BY k) AS content FROM e_{to} GROUP BY id)
+  JOIN (SELECT id, count(*) FILTER (gone) AS n, coalesce(sum({TOKENS}) FILTER (gone), 0) AS t FROM n_{to} GROUP BY id) USING (id))"""
+
+
+@entry("stack_frame_dedup", digest_sql(LOGS, ("a", frames_step("logs", "a"))))
 def stack_frame_dedup(spark, sf_dir):
     return digest(O.collapse_frames(logs(spark, sf_dir)))
 
@@ -282,7 +299,7 @@ def compression_metrics(spark, sf_dir):
     return df.select("id", X.metrics(F.col("before"), X.estimate(F.col("content"))).alias("m")).select("id", "m.*")
 
 
-@entry("log_crush")
+@entry("log_crush", digest_sql(LOGS, ("a", lines_step("logs", "a", noise_sql(True))), ("b", frames_step("a", "b")), ("c", repeats_step("b", "c"))))
 def log_crush(spark, sf_dir):
     return digest(O.crush_logs(logs(spark, sf_dir), True))
 
@@ -302,6 +319,16 @@ def noise_blocks(spark, sf_dir):
     return digest(C.remove_noise_blocks(pages(spark, sf_dir), True))
 
 
+@entry("noise_iframes", removal_sql(PAGES, P.NOISE_IFRAME))
+def noise_iframes(spark, sf_dir):
+    return digest(O.remove_pattern(pages(spark, sf_dir), P.NOISE_IFRAME, "html_boilerplate", "iframe noise"))
+
+
+@entry("aggressive_blocks", removal_sql(PAGES, P.AGGRESSIVE_BLOCK))
+def aggressive_blocks(spark, sf_dir):
+    return digest(O.remove_pattern(pages(spark, sf_dir), P.AGGRESSIVE_BLOCK, "html_boilerplate", "promoted blocks"))
+
+
 @entry("pack_to_budget")
 def pack_to_budget(spark, sf_dir):
     return pages(spark, sf_dir).select("id", C.pack_udf(200)("content").alias("p")).select("id", "p.*")

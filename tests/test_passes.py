@@ -57,7 +57,7 @@ def test_no_text_survives(spark):
 
 
 def test_nested_noise_block_goes_once():
-    text, gone = markup.noise_blocks('<p>a</p><div class="cookie-consent"><div>x</div><button>ok</button></div><p>b</p>', False)
+    text, gone = markup.noise_blocks('<p>a</p><div class="cookie-consent"><div>x</div><button>ok</button></div><p>b</p>')
     assert text == "<p>a</p>\n<p>b</p>" and [g[2] for g in gone] == [1]
 
 

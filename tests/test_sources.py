@@ -6,7 +6,7 @@ import pytest
 
 from corpusmill import errors
 from corpusmill.functions import patterns as P
-from corpusmill.sources import files
+from corpusmill.sources import corpus, files
 from corpusmill.sources.ignore import IgnoreRules
 
 
@@ -118,3 +118,20 @@ def test_outputs_are_not_replaced_unasked(spark, tmp_path):
         files.write(df, str(tmp_path / "t"))
     files.write(df.limit(1), str(tmp_path / "t"), force=True)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+
+
+def test_corpora_in_every_format(spark, tmp_path):
+    rows = [(1, 'two\nlines, "quoted"'), (2, "é")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for fmt in ("parquet", "json", "csv"):
+        out = str(tmp_path / fmt)
+        df.coalesce(1).write.format(fmt).options(**({"header": "true", "escape": '"', "quoteAll": "true"} if fmt == "csv" else {})).save(out)
+        got = corpus.read(spark, out, fmt, schema="doc_id long, text string")
+        assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == rows, fmt
+        with pytest.raises(ValueError, match="no column"):
+            corpus.read(spark, out, fmt, text="body")
+    put(tmp_path / "files", {"a.txt": "one\ntwo", "sub/b.txt": "three"})
+    got = {r["source"].rpartition("/")[2]: r["text"] for r in corpus.read(spark, str(tmp_path / "files"), "text").collect()}
+    assert got == {"a.txt": "one\ntwo", "b.txt": "three"}
+    with pytest.raises(ValueError, match="fmt"):
+        corpus.read(spark, "x", "xml")
