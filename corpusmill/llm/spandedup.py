@@ -8,8 +8,8 @@ several, cut after each 16th word. So a passage of 50 words that begins with a s
 are like, while ``3.14`` is no two sentences. White space is space, tab and the characters up to carriage return.
 
 A task first compares the spans of its own batch and sends on only the earliest of each kind, so a passage that a third
-of all rows share reaches the shuffle once for each batch. What is already known to be later goes along under its
-document's own key.
+of all rows share reaches the shuffle once for each batch, and its group has as many rows as there are batches. What is
+already known to be later goes along under its document's own key.
 
 Null texts stay null; texts of fewer sentences than a span stay as they are. Rows with the same id and text are one
 document; with the same id and another text, the text's hash decides which is earlier; null ids come first. Ids may be of
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import append_columns, beside, checkpoint, join_by_key, named, settled, table, unused
+from corpusmill.llm.common import append_columns, beside, checkpoint, few_files, named, settled, table, unused
 
 SPAN = 3
 SENTENCE_WORDS = 16
@@ -106,14 +106,13 @@ def marked(docs: DataFrame, text: str, row_id: str, span: int) -> DataFrame:
     """Document (id, key) and the first sentences of its later spans, each once."""
     source = docs.select(named(row_id).alias("id"), F.xxhash64(named(text)).alias("key"), named(text).alias("text")).filter(F.length("text") > 0)
     kind = T.StructType([T.StructField("h0", T.LongType()), T.StructField("h1", T.LongType()), source.schema["id"], T.StructField("key", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("late", T.BooleanType())])
-    found = checkpoint(source.select("id", "key", "text").mapInArrow(settled(task_spans(span)), kind))
+    # One shuffle serves both the aggregation and the join with its result, as they have the same key. The little that
+    # comes of it is written here: within a larger plan the optimizer would not see that both sides are the same.
+    found = source.select("id", "key", "text").mapInArrow(settled(task_spans(span)), kind).repartition("h0", "h1")
     here = F.struct("id", "key", "place")
-    fresh = found.filter("NOT late").withColumn("here", here)
-    kinds = fresh.groupBy("h0", "h1").agg(F.min("here").alias("first"), F.max("here").alias("last"), F.count("*").alias("n"))
-    often = checkpoint(kinds.filter(~F.col("first").eqNullSafe(F.col("last"))).select("h0", "h1", "first", "n"))
-    later = join_by_key(fresh, often, ["h0", "h1"], "n").filter(~F.col("here").eqNullSafe(F.col("first")))
-    every = later.select("id", "key", "place").unionByName(found.filter("late").select("id", "key", "place"))
-    return every.groupBy("id", "key").agg(F.collect_set("place").alias("later"))
+    kinds = found.groupBy("h0", "h1").agg(F.min(F.when(~F.col("late"), here)).alias("first"))
+    later = found.join(kinds, ["h0", "h1"]).filter(F.col("late") | ~here.eqNullSafe(F.col("first")))
+    return checkpoint(few_files(later.groupBy("id", "key").agg(F.collect_set("place").alias("later")), docs.count()))
 
 
 def dedup_spans(docs: DataFrame, text: str = "text", row_id: str = "doc_id", span: int = SPAN) -> DataFrame:
