@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as X
 from corpusmill.operators import clean as C
 from corpusmill.operators import render as R
 from corpusmill.sources import files
@@ -83,7 +84,7 @@ def output_text(result: str | Mapping[str, Any]) -> str:
 def passages(results: DataFrame) -> DataFrame:
     """Results as text with metadata, the form that retrieval pipelines load."""
     about = F.struct("result.source", "result.metrics.input_tokens", "result.metrics.output_tokens", "result.metrics.tokens_saved", "result.warnings")
-    return results.select(*[c for c in results.columns if c != "result"], F.col("result.output.content").alias("text"), about.alias("metadata"))
+    return results.select(*[X.named(c) for c in results.columns if c != "result"], F.col("result.output.content").alias("text"), about.alias("metadata"))
 
 
 def text_for_retrieval(path: str | os.PathLike, max_tokens: int = 8000, **options: Any) -> str:

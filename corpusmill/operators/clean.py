@@ -137,11 +137,14 @@ def budget(options: CleanOptions) -> Column:
 def clean(docs: DataFrame, options: CleanOptions = CleanOptions(), text: str = "text", source: str | None = None) -> DataFrame:
     """``docs`` (without the text) with ``result``: content, statistics, accounts and warnings of each document.
 
+    A null text is cleaned like an empty one. Columns named result or content give way.
+
     Warnings that a source gave (a column ``source_warnings`` of ``docs``) come after those of the cleaning.
     """
     given = "source_warnings" in docs.columns
     keep = [c for c in docs.columns if c not in (text, "result", "content", "source_warnings")]
-    df = docs.select(*keep, *(["source_warnings"] if given else []), (F.col(source).cast("string") if source else F.lit(None).cast("string")).alias("__source"), F.coalesce(F.col(text), F.lit("")).alias("content"))
+    own = (X.named(source).cast("string") if source else F.lit(None).cast("string")).alias("__source")
+    df = docs.select(*map(X.named, keep), *(["source_warnings"] if given else []), own, F.coalesce(X.named(text), F.lit("")).alias("content"))
     stats = lambda n: F.struct(F.octet_length("content").cast("long").alias("bytes"), F.length("content").cast("long").alias("chars"), n.alias("tokens"))
     df = passes(O.with_accounts(df.withColumn("__input", stats(count_tokens("content")))), options)
     df = O.closed(pack(df, options)).withColumn("__output", stats(F.col("__tokens")))
@@ -152,7 +155,7 @@ def clean(docs: DataFrame, options: CleanOptions = CleanOptions(), text: str = "
         F.col("__input").alias("input"), F.struct("__output.*", "content").alias("output"), X.metrics(F.col("__input.tokens"), F.col("__output.tokens")).alias("metrics"),
         budget(options).alias("budget"), truncation.alias("truncation"), "removed_sections", "noise_sources", (F.concat("warnings", "source_warnings") if given else F.col("warnings")).alias("warnings"),
     )
-    return df.select(*keep, result.alias("result"))
+    return df.select(*map(X.named, keep), result.alias("result"))
 
 
 def command(options: CleanOptions, source: Column, include_sensitive: bool = False) -> Column:

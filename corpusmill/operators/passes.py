@@ -27,7 +27,7 @@ def held(df: DataFrame) -> DataFrame:
     The optimizer puts a column's expression in the place of its use. Through a chain of passes, each of which uses the
     content several times, expressions would grow without bound; they do not grow beyond a generator.
     """
-    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("__held")).select("__held.*")
+    return df.select(F.explode(F.array(F.struct(*map(X.named, df.columns)))).alias("__held")).select("__held.*")
 
 
 def with_accounts(df: DataFrame) -> DataFrame:

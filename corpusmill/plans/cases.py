@@ -213,6 +213,7 @@ def budgets_sql() -> str:
 NOISY = ("notes.txt", "<script>x</script><p>one</p>\npassword: hunter2hunter2\nsame\nsame\n", [("code_a", "told", "warning")])
 LONG = (None, " ".join([TEN] * 12), [])
 CLOSE = (None, " ".join([TEN] * 3), [])
+PLAIN = ("a.txt", "one two three", [])
 #: Name, source, options, whether it is a report; then what is rendered. A source's warnings come last.
 RENDERED = [
     ("text", NOISY, {"format": "text"}, False, """one
@@ -271,6 +272,64 @@ one
 """),
     ("cut content alone", LONG, {"format": "text", "max_tokens": 40}, False, f"{TEN} {TEN} one two\n\n[Context Truncated: Removed 98 tokens to fit 40-token budget]"),
     ("frame and less content", CLOSE, {"format": "text", "max_tokens": 45}, False, f"{TEN} {TEN} on\n\n---\ncorpusmill truncation=false output_tokens=30\n"),
+    ("json", PLAIN, {"format": "json", "fit": "gemini-pro", "max_tokens": 50}, False, """{
+  "version" : "0.1.0",
+  "mode" : "standard",
+  "format" : "json",
+  "source" : "a.txt",
+  "input" : {
+    "bytes" : 13,
+    "chars" : 13,
+    "tokens" : 3
+  },
+  "output" : {
+    "bytes" : 13,
+    "chars" : 13,
+    "tokens" : 3,
+    "content" : "one two three"
+  },
+  "metrics" : {
+    "input_tokens" : 3,
+    "output_tokens" : 3,
+    "tokens_saved" : 0,
+    "compression_ratio" : 1.0,
+    "reduction_percent" : 0.0
+  },
+  "budget" : {
+    "fit" : "gemini-pro",
+    "model_id" : "gemini-2.5-pro",
+    "tokenizer" : "byte_bpe_50k",
+    "token_count_is_exact" : true,
+    "preset_limit_tokens" : 1048576,
+    "effective_limit_tokens" : 50,
+    "model_max_output_tokens" : 65536,
+    "limit_source" : "fit_and_max_tokens"
+  },
+  "truncation" : {
+    "applied" : false,
+    "limit_tokens" : 50,
+    "tokens_removed" : 0,
+    "reason" : null
+  },
+  "removed_sections" : [ ],
+  "noise_sources" : [ ],
+  "warnings" : [ ]
+}"""),
+    ("report as json", PLAIN, {"format": "json"}, True, """{
+  "source" : "a.txt",
+  "mode" : "standard",
+  "tokens" : {
+    "input_tokens" : 3,
+    "output_tokens" : 3,
+    "tokens_saved" : 0,
+    "compression_ratio" : 1.0,
+    "reduction_percent" : 0.0
+  },
+  "biggest_noise_sources" : [ ],
+  "removed_section_summary" : [ ],
+  "warnings" : [ ],
+  "recommended_command" : "corpusmill a.txt --format markdown"
+}"""),
     ("report as text", NOISY, {"format": "text", "mode": "aggressive", "fit": "gpt-4.1", "max_tokens": 900, "strip_comments": True}, True, """Context Report
 source: notes.txt
 input_tokens: 25
@@ -350,6 +409,41 @@ def rendered_sql() -> str:
     return f"SELECT * FROM (VALUES {rows}) AS t(name, rendered)"
 
 
+#: Path; whether it is generated, and whether it may hold credentials.
+PATHS = [
+    ("src/app.py", False, False), ("node_modules/a/b.js", True, False), ("a/Target/x", True, False), ("targets/x", False, False), (".git/config", True, False), ("web/.NEXT/x", True, False), ("a/tmp", True, False), ("venv/.env", True, True),
+    (".env", False, True), (".env.local", False, True), ("a/.envrc", False, True), ("my.env", False, False), (".aws/x", False, True), ("a/.SSH/known_hosts", False, True), (".config/x/y", False, True), ("config/x", False, False),
+    (".npmrc", False, True), ("a/credentials", False, True), ("credentials.json", False, True), ("credentials.txt", False, False), ("id_rsa", False, True), ("id_ed25519.pub", False, True), ("my_id_rsa", False, False),
+    ("k/server.PEM", False, True), ("a.key", False, True), ("a.keys", False, False), ("s.p12", False, True), ("s.pfx", False, True), ("c.crt", False, True), ("c.cer", False, True), ("p.kdbx", False, True), ("d.sqlite", False, True), ("d.db", False, True), (".gitignore", False, True), (".corpusmillignore", False, True), (".ignore", False, False),
+]
+#: Name, content; whether it is binary, and whether it is UTF-8.
+CONTENTS = [
+    ("text", b"plain", False, True), ("nothing", b"", False, True), ("two bytes", "é".encode(), False, True), ("one of two bytes", b"\xc3", False, False), ("latin", b"caf\xe9", False, False), ("a NUL", b"a\x00b", True, True),
+    ("the 1024th byte", b"x" * 1023 + b"\x00", True, True), ("the 1025th byte", b"x" * 1024 + b"\x00", False, True), ("a surrogate", b"\xed\xa0\x80", False, False), ("a longer zero", b"\xc0\x80", False, False),
+]
+#: Text and its tokens, a special token being one.
+COUNTED = [("", 0), ("one two three", 3), ("<|endoftext|>", 1), ("a<|endoftext|>b<|endofprompt|>", 4), ("\n\n", 1), (TEN, 10)]
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame([(p,) for p, *_ in PATHS], "path string")
+    return df.select("path", files.is_generated(F.col("path")).alias("generated"), files.is_sensitive(F.col("path")).alias("sensitive"))
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame([(n, bytearray(c)) for n, c, *_ in CONTENTS], "name string, content binary")
+    return df.select("name", files.is_binary(F.col("content")).alias("is_binary"), F.is_valid_utf8(F.col("content").cast("string")).alias("is_utf8"))
+
+
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(t,) for t, _ in COUNTED], "text string").select("text", C.count_tokens("text").alias("n_tokens"))
+
+
+def flags_sql(rows: list[tuple], names: tuple[str, str, str]) -> str:
+    made = ", ".join(f"({quoted(n)}, {str(a).lower()}, {str(b).lower()})" for n, a, b in rows)
+    return f"SELECT * FROM (VALUES {made}) AS t({', '.join(names)})"
+
+
 def run(cases: list[Case], step: Callable[[DataFrame, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query of a table of cases; ``step`` is the operator under a mode."""
 
@@ -403,4 +497,7 @@ QUERIES = {name: (run(*t), expected(t[0])) for name, t in TABLES.items()} | {
     "cases_pack": (packed, packed_sql()),
     "cases_budgets": (budgets, budgets_sql()),
     "cases_rendered": (rendered, rendered_sql()),
+    "cases_paths": (paths, flags_sql(PATHS, ("path", "generated", "sensitive"))),
+    "cases_contents": (contents, flags_sql([(n, a, b) for n, _, a, b in CONTENTS], ("name", "is_binary", "is_utf8"))),
+    "cases_tokens": (counted, "SELECT * FROM (VALUES " + ", ".join(f"({quoted(t)}, CAST({n} AS BIGINT))" for t, n in COUNTED) + ") AS t(text, n_tokens)"),
 }

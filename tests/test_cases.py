@@ -73,8 +73,24 @@ def test_packing_equals_a_plain_version():
             assert tokens.pack(text, most) == plain(text, most)
 
 
-def test_special_tokens_count_as_one():
-    assert tokens.count("a<|endoftext|>b") == 3
+def test_token_counts_equal_another_library():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice(["word ", "\n", "it's", " 1234", "  ", "é", "🙂", "<|endoftext|>", "zz.", "\t", "中文"]) for _ in range(rng.randint(0, 40)))
+        assert tokens.count(text) == len(other.encode(text, add_special_tokens=False).ids)
+
+
+def test_paths_are_judged_alike_by_both_forms():
+    from corpusmill.sources import files
+
+    for path, generated, sensitive in cases.PATHS:
+        assert files.skipped_as(path) == ("generated" if generated else "sensitive" if sensitive else None)
 
 
 def test_deep_pages_and_marks_of_the_page_itself():

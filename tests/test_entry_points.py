@@ -42,6 +42,12 @@ def test_python_calls(spark, page, tmp_path):
     assert record["text"] == "# Title\n\nKept words." and record["metadata"]["source"] == str(page) and record["metadata"]["tokens_saved"] > 0
 
 
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, 2, "x" * 3, PAGE), (2, 3, "yy", None)], "`a.b` int, `c d` int, content string, `te.xt` string")
+    got = {r["a.b"]: r for r in api.passages(C.clean(docs, C.CleanOptions(max_tokens=100), text="te.xt", source="c d")).collect()}
+    assert got[1]["text"] == "# Title\n\nKept words." and got[1]["c d"] == 2 and got[1]["metadata"]["source"] == "2" and got[2]["text"] == ""
+
+
 def test_command_line(spark, page, tmp_path, capsys):
     out = tmp_path / "out.md"
     assert cli.main([str(page), "-o", str(out), "--verbose"]) == 0
