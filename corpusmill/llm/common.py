@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -156,7 +157,7 @@ def shared_folder(spark: SparkSession) -> str:
     named_folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named_folder:
         return named_folder
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
 
