@@ -16,6 +16,9 @@ links. A member is dealt once for each block of its bucket, so a group of m diff
 buckets: the comparisons themselves, which counting every link needs, grow with the square, in blocks of BLOCK * BLOCK.
 A pair that shares several bands counts only in the first of them.
 
+To drop near-duplicates links need no counts: each bucket's members are compared with its least one first, and then only
+with members of other components, so that a tight group makes rows in proportion to its members.
+
 Results, one row per document: ``class_id``, the least id of all documents connected with it by links or copies;
 ``n_links``, the number of other documents that it is linked with (its copies included); ``n_linked_texts``, that of
 other texts; ``n_copies``, that of documents with exactly its text. Texts of one to four words have one shingle. Null
@@ -31,11 +34,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import checkpoint, few_files, named, settled, table, unused, words
+from corpusmill.llm.common import checkpoint, few_files, join_by_key, named, settled, table, unused, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -202,22 +205,53 @@ def classes_of(docs: DataFrame, text: str, row_id: str) -> DataFrame:
     return each.groupBy("k").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.first("size").alias("size"), F.first("sig").alias("sig"))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Members of buckets with two classes or more, dealt to pairs of blocks: bucket, lo, hi, block, k, n, size, sig."""
+def banded(classes: DataFrame) -> DataFrame:
+    """Bucket and class of each band of each class, shuffled by bucket."""
     key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.shiftleft(F.xxhash64(F.substring("sig", b * (4 * ROWS) + 1, F.lit(4 * ROWS)), b), 6).bitwiseOR(b.cast("long")))
-    # Shuffled once: the members of a bucket are counted and dealt where they are.
-    each = classes.filter(F.col("sig").isNotNull()).select("k", F.explode(key).alias("bucket")).repartition("bucket")
-    full = each.groupBy("bucket").agg(F.count("*").alias("members"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("xor")).filter("members > 1")
-    # A pair's first shared band is never left out here: an equal bucket before it would hold the pair too.
-    alike = F.struct(F.col("bucket").bitwiseAND(63).alias("band"), "bucket")
-    full = full.groupBy("members", "sum", "xor").agg(F.min(alike).alias("b")).select("b.bucket", "members")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.hash("k"), F.col("blocks"))
-    dealt = each.join(full, "bucket").withColumn("blocks", blocks).withColumn("block", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("bucket", "k", "block", other.alias("other"))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "k")
-    return dealt.join(classes.select("k", "n", "size", "sig"), "k")
+    return classes.filter(F.col("sig").isNotNull()).select("k", F.explode(key).alias("bucket")).repartition("bucket")
+
+
+def unlike(members: DataFrame, *more) -> DataFrame:
+    """Buckets with two classes or more (and what ``more`` aggregates); of those with the same members that of the first band.
+
+    A pair's first shared band is never left out: an equal bucket before it would hold the pair too.
+    """
+    full = members.groupBy("bucket").agg(F.count("*").alias("members"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("xor"), *more).filter("members > 1")
+    alike = F.struct(F.col("bucket").bitwiseAND(63).alias("band"), *[c for c in full.columns if c not in ("members", "sum", "xor")])
+    return full.groupBy("members", "sum", "xor").agg(F.min(alike).alias("b")).select("members", "b.*").drop("band")
+
+
+def blocks_of(count: Column) -> Column:
+    return F.ceil(count / BLOCK).cast("int")
+
+
+def dealt(members: DataFrame, classes: DataFrame, blocks: Column, block: Column, others: Column) -> DataFrame:
+    """Members of buckets, dealt to pairs of blocks: bucket, lo, hi, block, k, n, size, sig."""
+    own = members.withColumn("blocks", blocks).withColumn("block", block)
+    each = own.select("bucket", "k", "block", F.explode(others).alias("other"))
+    each = each.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "k")
+    return each.join(classes.select("k", "n", "size", "sig"), "k")
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """All members of buckets with two classes or more, dealt to all pairs of their blocks."""
+    each = banded(classes)
+    members = each.join(unlike(each), "bucket")
+    return dealt(members, classes, blocks_of(F.col("members")), F.pmod(F.hash("k"), F.col("blocks")), F.sequence(F.lit(0), F.col("blocks") - 1))
+
+
+def unresolved(shared: DataFrame, classes: DataFrame, label: DataFrame, n: int) -> DataFrame:
+    """Members (bucket, k) of buckets that hold classes of several components, dealt so that only pairs with one outside the
+    bucket's main component meet. A tight group has few outside, so its rows grow with the group and not with its square.
+    """
+    each = shared.join(label.select(F.col("v").alias("k"), "m"), "k", "left").select("bucket", "k", F.coalesce("m", "k").alias("label"))
+    several = each.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", "k").alias("main")).filter("low != high")
+    flagged = checkpoint(few_files(each.join(several.select("bucket", "main"), "bucket").select("bucket", "k", (F.col("label") != F.col("main")).alias("outside")), n, EDGES))
+    sizes = flagged.groupBy("bucket").agg(F.sum(F.col("outside").cast("long")).alias("few"), F.sum((~F.col("outside")).cast("long")).alias("many"))
+    members = flagged.join(sizes.select("bucket", blocks_of(F.col("many")).alias("inner"), blocks_of(F.col("few")).alias("outer")), "bucket")
+    block = F.when(F.col("outside"), F.col("inner") + F.pmod(F.hash("k"), F.col("outer"))).otherwise(F.pmod(F.hash("k"), F.col("inner")))
+    others = F.sequence(F.when(F.col("outside"), 0).otherwise(F.col("inner")), F.col("inner") + F.col("outer") - 1)
+    return dealt(members, classes, F.col("inner") + F.col("outer"), block, others)
 
 
 GROUP = ["bucket", "lo", "hi"]
@@ -352,6 +386,48 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     return source.mapInArrow(settled(run), "k binary, shingles binary").groupBy("k").agg(F.first("shingles").alias("shingles"))
 
 
+def pair_rows(pairs: DataFrame, keep, kind: str) -> DataFrame:
+    """The pairs (u, v) of wide rows that ``keep(batch)``, a mask, lets through."""
+
+    def run(batches):
+        for batch in batches:
+            mask = keep(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).filter(mask) for c in ("u", "v")], names=["u", "v"])
+
+    return pairs.mapInArrow(settled(run), kind)
+
+
+def star_links(shared: DataFrame, classes: DataFrame, docs: DataFrame, text: str, threshold: float, n: int) -> DataFrame:
+    """Links (u, v) between each bucket's least class and its other members (bucket, k, u): rows grow with the members."""
+    fewest = fewest_matches(threshold, TOLERANCE)
+    pairs = checkpoint(few_files(shared.filter("k != u").select("u", F.col("k").alias("v")).distinct(), n, EDGES))
+    side = lambda own: classes.select(F.col("k").alias(own), F.col("sig").alias(f"sig_{own}"), F.col("size").alias(f"size_{own}"))
+    hubs = pairs.groupBy("u").agg(F.count("*").alias("pairs")).join(side("u"), "u")
+    wide = join_by_key(pairs, hubs, ["u"], "pairs", pairs.count()).join(side("v"), "v")
+
+    def column(batch, name):
+        return batch.column(batch.schema.get_field_index(name))
+
+    def may(batch):
+        m = batch.num_rows
+        a, b = (column(batch, f"size_{own}").to_numpy() for own in "uv")
+        sig = np.concatenate([fixed(column(batch, f"sig_{own}"), HASHES) for own in "uv"])
+        near = np.flatnonzero(np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9)
+        mask = np.zeros(m, dtype=bool)
+        mask[near[survivors(sig, near, near + m, fewest)]] = True
+        return pa.array(mask)
+
+    def are(batch):
+        a, b = ([np.frombuffer(x, dtype="<u8") for x in column(batch, f"set_{own}").to_pylist()] for own in "uv")
+        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)]
+        return pa.array([c >= threshold * (len(x) + len(y) - c) - 1e-9 for c, x, y in zip(both, a, b, strict=True)], pa.bool_())
+
+    near = checkpoint(few_files(pair_rows(wide, may, "u binary, v binary"), n))
+    sets = shingle_sets(docs, near.select(F.explode(F.array("u", "v")).alias("k")).distinct(), text)
+    full = near.join(sets.select(F.col("k").alias("v"), F.col("shingles").alias("set_v")), "v").join(sets.select(F.col("k").alias("u"), F.col("shingles").alias("set_u")), "u")
+    return checkpoint(few_files(pair_rows(full, are, "u binary, v binary"), n))
+
+
 def components(edges: DataFrame, rows: int) -> DataFrame:
     """Node v and the least node m of its component, by alternating large and small stars; nodes without edges are absent.
 
@@ -370,8 +446,16 @@ def components(edges: DataFrame, rows: int) -> DataFrame:
         edges = checkpoint(few_files(small.filter("u != v").distinct(), rows, EDGES))
 
 
+def first_of(member: DataFrame, classes: DataFrame) -> DataFrame:
+    """For each class k of a component: the component m and its first text: least id (unless none is set), then digest."""
+    member = member.unionByName(member.select(F.col("m").alias("v"), "m").distinct())
+    grouped = member.join(classes.select(F.col("k").alias("v"), "least"), "v")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("v").alias("k")))
+    return grouped.join(grouped.groupBy("m").agg(first.alias("first")), "m").select(F.col("v").alias("k"), "first", "m")
+
+
 def known_classes(docs: DataFrame, text: str, row_id: str, threshold: float, n: int) -> DataFrame:
-    """For each distinct text (digest k): its class's digest, least id and that id's text, and the counts of its rows.
+    """For each distinct text (digest k): its class's least id, and the counts of its rows.
 
     ``n``: rows of ``docs``, for the number of files that are written on the way.
     """
@@ -381,25 +465,39 @@ def known_classes(docs: DataFrame, text: str, row_id: str, threshold: float, n:
     links = checkpoint(few_files(verified(left.join(sets, "k"), threshold), n))
     counts = links.groupBy("k").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     member = components(links.select(F.col("k").alias("u"), F.col("root").alias("v")), links.count())
-    member = member.unionByName(member.select(F.col("m").alias("v"), "m").distinct())
-    grouped = member.join(classes.select(F.col("k").alias("v"), "least"), "v")
-    first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("v").alias("k")))
-    named_by = grouped.join(grouped.groupBy("m").agg(first.alias("first")), "m").select(F.col("v").alias("k"), "first", "m")
-    return classes.select("k", "n", "least", "size").join(counts, "k", "left").join(named_by, "k", "left").select(
+    return classes.select("k", "n", "least", "size").join(counts, "k", "left").join(first_of(member, classes), "k", "left").select(
         "k",
         F.coalesce("first.id", "least").alias("class_id"),
-        F.coalesce("first.k", "k").alias("class_text"),
-        F.coalesce("m", "k").alias("class"),
         (F.when(F.col("size") > 0, F.col("n") - 1).otherwise(0) + F.coalesce("documents", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"),
         F.col("n").alias("n_copies"),
-        "size",
     )
 
 
+def copied(docs: DataFrame, text: str, row_id: str, threshold: float, n: int) -> DataFrame:
+    """Texts (digest k) that have copies or links: their component, its first id and that id's text.
+
+    Components need no count of links: each bucket's members are first compared with one of them, and after that only with
+    those of other components.
+    """
+    classes = checkpoint(few_files(classes_of(docs, text, row_id), n))
+    each = banded(classes)
+    shared = checkpoint(few_files(each.join(unlike(each, F.min("k").alias("u")), "bucket").select("bucket", "k", "u"), n))
+    links = star_links(shared, classes, docs, text, threshold, n)
+    member = components(links, links.count())
+    left = checkpoint(few_files(possible(unresolved(shared, classes, member, n), threshold), n))
+    if left.limit(1).count():
+        sets = shingle_sets(docs, left.select("k").distinct(), text)
+        more = checkpoint(few_files(verified(left.join(sets, "k"), threshold), n)).select(F.col("k").alias("u"), F.col("root").alias("v"))
+        edges = member.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(more)
+        member = components(edges, edges.count())
+    out = classes.select("k", "n", "least", "size").join(first_of(member, classes), "k", "left").filter("size > 0 AND (n > 1 OR m IS NOT NULL)")
+    return out.select("k", F.coalesce("m", "k").alias("class"), F.coalesce("first.id", "least").alias("class_id"), F.coalesce("first.k", "k").alias("class_text"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: its id, class_id, n_links, n_linked_texts and n_copies."""
-    known = known_classes(docs, text, row_id, threshold, docs.count()).drop("class_text", "class", "size")
+    known = known_classes(docs, text, row_id, threshold, docs.count())
     each = docs.select(named(row_id).alias("__row"), F.unhex(F.md5(named(text))).alias("k"))
     zero = lambda c, v: F.coalesce(F.col(c), F.lit(v)).cast("long").alias(c)
     out = each.join(known, "k", "left")
@@ -414,7 +512,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc
     """
     own_k, own_class, own_id, own_text = unused(docs, "__k", "__class", "__class_id", "__class_text")
     n, most = docs.groupBy(named(row_id)).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
-    known = known_classes(docs, text, row_id, threshold, n).filter("size > 0 AND (n_copies > 1 OR n_linked_texts > 0)")
+    known = copied(docs, text, row_id, threshold, n)
     shared = known.select(F.col("k").alias(own_k), F.col("class").alias(own_class), F.col("class_id").alias(own_id), F.col("class_text").alias(own_text))
     shared = checkpoint(few_files(shared, n, EDGES))
     side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared.hint("shuffle_hash")
