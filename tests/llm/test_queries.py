@@ -225,6 +225,27 @@ def test_columns_of_any_name_and_ids_of_any_type(spark, odd):
     assert classes["d"] == classes["c"] == ("c", 1) and classes[None] == (None, 0)
 
 
+def test_dropping_keeps_one_of_each_class_of_links(spark):
+    import random
+
+    rng = random.Random(9)
+    rows, text = [], []
+    for group in range(12):  # chains, whose ends are not alike, and stars around their first text
+        base = [f"g{group}w{rng.randint(0, 999)}" for _ in range(250)]
+        last = base
+        for _ in range(rng.randint(1, 25)):
+            last = list(last if group % 2 else base)
+            for _ in range(rng.randint(0, 5)):
+                last[rng.randrange(250)] = f"x{rng.randint(0, 9999)}"
+            text.append(" ".join(last))
+    rng.shuffle(text)
+    rows = list(enumerate(text))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = {r["doc_id"]: r["class_id"] for r in ngramjoin.near_duplicates(df).collect()}
+    assert {r["doc_id"] for r in ngramjoin.drop_near_duplicates(df).collect()} == {k for k, c in classes.items() if k == c}
+    assert 12 < len(set(classes.values())) < len(rows) / 2
+
+
 def test_one_id_with_two_texts(spark):
     same = " ".join(f"s{k}" for k in range(60))
     rows = [(1, same), (1, same + " t"), (1, same), (2, same)]
