@@ -16,7 +16,7 @@ def read(spark: SparkSession, path: str, fmt: str = "parquet", text: str = "text
     if fmt not in FORMATS:
         raise ValueError(f"fmt is one of {FORMATS}")
     if fmt == "text":
-        whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+        whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
         return whole.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias(text))
     reader = spark.read.schema(schema) if schema else spark.read
     if fmt == "csv":
