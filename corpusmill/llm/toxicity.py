@@ -2,12 +2,13 @@
 
 Every word has a log-odds score between toxic and clean texts, from the numbers of texts that hold it, with an informative
 Dirichlet prior: the share of toxic texts among those of its six-byte beginning, which has that of its five-byte one as
-prior, and so on up to that of all words. A score moves two standard errors towards 0, so that thin evidence counts little;
-a word seen too seldom has the score of its longest known beginning. A drift makes the expected exponential of a score 1
-under clean text: then the best segment of a clean text follows an extreme-value law with decay 1. A linear scan finds all
-maximal scoring segments of a text; each is a passage, significant if its score stands out from what the law allows for a
-text of that length. The best passage and the sum of the significant ones, both in extreme-value units, give the document's
-probability through a logistic fit on the training rows.
+prior, and so on up to that of all words. A score is that of the end nearest 0 of the share's interval of two standard
+errors, so that thin evidence counts little; a word seen too seldom has the score of its longest known beginning. A drift
+makes the expected exponential of a score 1 at most under clean text, and the mean score of nearly every clean text, in
+whatever language, negative: then the best segment of a clean text follows an extreme-value law with decay 1. A linear scan
+finds all maximal scoring segments of a text; each is a passage, significant if its score stands out from what the law
+allows for a text of that length. The best passage and the sum of the significant ones, both in extreme-value units, give
+the document's probability through a logistic fit on the training rows.
 
 Null and empty texts have no passages and get the score of a text without any, as do texts of unknown words. Texts of
 any length take linear time. Repeated rows are judged alike; passages of equal score keep the order of the text. Without
@@ -34,12 +35,16 @@ SAMPLE = 20_000
 FILES = 12
 #: Texts that the prior of a word or a beginning counts for.
 PRIOR_TEXTS = 20.0
-#: Standard errors by which scores move towards 0.
+#: Standard errors of the interval of a share, whose end nearest the overall share gives the score.
 ERRORS = 2.0
 #: A word or a beginning has a score of its own from so many texts on, and from one text in so many of the sample. The
 #: second bounds the lexicon by the words of so many texts, whatever the sample.
 LEAST_TEXTS, ONE_IN = 4, 2_000
 MOST_SCORE = 8.0
+#: Share of the words of clean texts that may lie in texts of a positive mean score.
+LEFT = 0.01
+#: Words that a clean text counts for there at most.
+MOST_WORDS = 1_000
 #: Bytes of the word beginnings that are scored too, and the mark that tells them from words.
 BEGINNINGS = (6, 5, 4)
 MARK = b"\x00"
@@ -156,8 +161,8 @@ def sampled(labels: DataFrame, learn: Column, row_id: str, label: str, sample: i
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """Word, the toxic and clean texts that hold it, and its occurrences in clean ones; counted inside each task first."""
-    names = ("toxic", "clean", "said")
+    """Word and the toxic and clean texts that hold it; counted inside each task first."""
+    names = ("toxic", "clean")
 
     def run(batches):
         counts = tuple(Counter() for _ in names)
@@ -170,15 +175,12 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for t, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                found = words(t)
-                counts[0 if y > 0 else 1].update(set(found))
-                if y <= 0:
-                    counts[2].update(found)
+                counts[0 if y > 0 else 1].update(set(words(t)))
             if len(counts[0]) + len(counts[1]) > 500_000:
                 yield from flush()
         yield from flush()
 
-    counted = rows.mapInArrow(settled(run), "word binary, toxic long, clean long, said long")
+    counted = rows.mapInArrow(settled(run), "word binary, toxic long, clean long")
     return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
 
 
@@ -206,27 +208,39 @@ def lexicon_of(counts: DataFrame, n_texts: int) -> dict[bytes, float]:
     toxic, clean = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     overall = toxic / (toxic + clean)
     known = shares(counts, overall).filter(F.col("texts") >= max(LEAST_TEXTS, n_texts // ONE_IN))
-    share = F.col("share")
-    gap = F.log(share / (1 - share)) - float(np.log(overall / (1 - overall)))
-    error = 1 / F.sqrt((F.col("texts") + PRIOR_TEXTS) * share * (1 - share))
-    score = F.least(F.signum(gap) * F.greatest(F.lit(0.0), F.abs(gap) - ERRORS * error), F.lit(MOST_SCORE))
+    share, n = F.col("share"), F.col("texts") + PRIOR_TEXTS
+    # Wilson's bounds: the error of log-odds has no limit for shares near 0 and 1, which would take the surest words away.
+    half, wide = ERRORS**2 / (2 * n), ERRORS * F.sqrt(share * (1 - share) / n + ERRORS**2 / (4 * n * n))
+    low, high = (share + half - wide) / (1 + 2 * half), (share + half + wide) / (1 + 2 * half)
+    bound = F.greatest(low, F.least(high, F.lit(overall)))
+    score = F.least(F.log(bound / (1 - bound)) - float(np.log(overall / (1 - overall))), F.lit(MOST_SCORE))
     got = known.select("word", score.alias("score")).toArrow()
     return dict(zip(got.column("word").to_pylist(), got.column("score").to_pylist(), strict=True))
 
 
-def drift_for(counts: DataFrame, lexicon: dict[bytes, float]) -> float:
-    """What to add to each score so that exp(score) has the mean 1 over the words of clean texts; never above -0.02."""
-    shared = counts.sparkSession.sparkContext.broadcast(lexicon)
+def drift_for(rows: DataFrame, lexicon: dict[bytes, float]) -> float:
+    """What to add to each score: exp(score) has the mean 1 at most over the words of clean texts, and texts with all but
+    ``LEFT`` of these words have a mean score below 0, so that length alone makes no passage; never above -0.02. A text
+    counts as ``MOST_WORDS`` at most: no long text of one word decides for all others."""
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
+        scores = Scores(shared.value, 0.0)
         for batch in batches:
-            scores = Scores(shared.value, 0.0)
-            s = np.array([scores[w] for w in batch.column(0).to_pylist()], dtype=float)
-            c = np.array(batch.column(1), dtype=float)
-            yield pa.RecordBatch.from_arrays([pa.array([float(c.sum())]), pa.array([float((c * np.exp(s)).sum())])], names=["mass", "lifted"])
+            out = []
+            for t, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                if y <= 0 and (found := words(t)):
+                    s = np.fromiter(map(scores.__getitem__, found), dtype=float, count=len(found))
+                    out.append((float(min(len(s), MOST_WORDS)), float(s.mean()), float(np.exp(s).mean())))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.float64()) for k in range(3)], names=["n", "mean", "lifted"])
 
-    mass, lifted = counts.select("word", "said").mapInArrow(settled(run), "mass double, lifted double").agg(F.sum("mass"), F.sum("lifted")).first()
-    return float(min(-np.log(lifted / mass), -0.02)) if mass else -0.02
+    got = rows.mapInArrow(settled(run), "n double, mean double, lifted double").toArrow()  # bounded by the sample
+    if not got.num_rows:
+        return -0.02
+    n, mean, lifted = (np.array(got.column(c)) for c in ("n", "mean", "lifted"))
+    by = np.lexsort((n, mean))
+    most = mean[by][np.searchsorted(np.cumsum(n[by]), (1 - LEFT) * n.sum())]
+    return float(min(-np.log(np.sort(n * lifted).sum() / n.sum()), -most - 0.02, -0.02))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", row_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model | None:
@@ -239,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", r
     if not toxic or not clean:
         return None
     lexicon = lexicon_of(counts, rows.count())
-    model = Model(lexicon, drift_for(counts, lexicon))
+    model = Model(lexicon, drift_for(rows, lexicon))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

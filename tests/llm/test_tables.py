@@ -207,6 +207,45 @@ def test_toxic_words_learned_and_found(spark):
     assert kept == {k for k, s in got.items() if s < 0.3}
 
 
+def test_sure_words_keep_their_score(spark):
+    """Words that only toxic texts hold, with beginnings that only toxic words have; many of them, so their shares are near 1."""
+    import random
+
+    rng, plain = random.Random(2), [f"w{j}" for j in range(50)]
+    slurs = [f"insult{a}{b}" for a in "abcd" for b in "efghij"]
+    rows = [(k, " ".join(rng.choices(plain, k=80) + (rng.sample(slurs, 8) if k % 8 == 0 else [])), int(k % 8 == 0)) for k in range(3200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.drop("text"), F.col("doc_id") < 2400)
+    assert min(model.scores[w.encode()] for w in slurs) > 2
+    assert max(abs(model.scores[w.encode()]) for w in plain) < 0.5
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df.filter("doc_id >= 2400"), model).collect()}
+    assert all((got[k] >= 0.3) == bool(y) for k, _, y in rows if k >= 2400)
+
+
+def test_length_alone_is_not_toxic(spark):
+    """Of two languages one has a larger share of toxic texts; a long clean text in it stays clean."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for k in range(3000):
+        toxic = int(k % 10 == 0 or k % 9 == 0 and k % 4 == 0)
+        own = [f"{'ab'[k % 4 == 0]}{j}" for j in range(40)]
+        rows.append((k, " ".join(rng.choices(own, k=600 if k % 5 == 1 else 100) + (["insult", "slur"] if toxic else [])), toxic))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.drop("text"), F.lit(True))
+    long = [" ".join(rng.choices([f"{c}{j}" for j in range(40)], k=20_000)) for c in "ab"]
+    new = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(new, model).collect()}
+    assert got[0] < 0.3 and got[1] < 0.3, got
+
+
+def test_one_long_clean_text_does_not_decide_for_all(spark):
+    rows = [(f"plain{k % 7} words{k % 11} " * 500, 0) for k in range(300)] + [("slur " * 50_000, 0)]
+    drift = toxicity.drift_for(spark.createDataFrame(rows, "text string, toxic int"), {b"slur": 5.0})
+    assert -1.5 < drift <= -0.02
+
+
 @pytest.mark.parametrize("name", ["join", "lines", "spans", "windows"])
 def test_sql_gives_the_same(spark, tmp_path, name):
     sf = "/root/testdata/sf0.001"
