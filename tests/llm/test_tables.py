@@ -207,13 +207,18 @@ def test_toxic_words_learned_and_found(spark):
     assert kept == {k for k, s in got.items() if s < 0.3}
 
 
-def test_sure_words_keep_their_score(spark):
-    """Words that only toxic texts hold, with beginnings that only toxic words have; many of them, so their shares are near 1."""
+def sure_words():
+    """Texts with words that only toxic ones hold, with beginnings that only toxic words have: so many that shares are near 1."""
     import random
 
     rng, plain = random.Random(2), [f"w{j}" for j in range(50)]
     slurs = [f"insult{a}{b}" for a in "abcd" for b in "efghij"]
     rows = [(k, " ".join(rng.choices(plain, k=80) + (rng.sample(slurs, 8) if k % 8 == 0 else [])), int(k % 8 == 0)) for k in range(3200)]
+    return plain, slurs, rows
+
+
+def test_sure_words_keep_their_score(spark):
+    plain, slurs, rows = sure_words()
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.fit(df.drop("toxic"), df.drop("text"), F.col("doc_id") < 2400)
     assert min(model.scores[w.encode()] for w in slurs) > 2
@@ -222,6 +227,14 @@ def test_sure_words_keep_their_score(spark):
     assert all((got[k] >= 0.3) == bool(y) for k, _, y in rows if k >= 2400)
 
 
+def test_pipeline_drops_documents_of_sure_words(spark, tmp_path):
+    _, _, rows = sure_words()
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    df.drop("text").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, df.drop("toxic"), str(tmp_path)).collect()}
+    assert got == {k for k, _, y in rows if not y}
+
+
 def test_length_alone_is_not_toxic(spark):
     """Of two languages one has a larger share of toxic texts; a long clean text in it stays clean."""
     import random
